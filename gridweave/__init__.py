@@ -11,7 +11,13 @@ from gridweave.operators.attention import (
 )
 from gridweave.operators.contrast import contrastive_loss, mean_loss, retrieval_top1
 from gridweave.operators.masking import Masking, mask_nodes, masked_relations, relations_touching
-from gridweave.operators.numbering import assign_gid, dense_index, epoch_order, node_positions
+from gridweave.operators.numbering import (
+    assign_gid,
+    dense_index,
+    epoch_order,
+    node_positions,
+    number_in_input_order,
+)
 from gridweave.operators.relations import (
     edge_relations,
     relation_channels,
@@ -47,8 +53,14 @@ from gridweave.plans.preprocess import (
     build_stores,
     numbered_tables,
 )
-from gridweave.plans.pretraining import pretraining_loss, training_examples, write_examples
-from gridweave.session import configure, materialize
+from gridweave.plans.pretraining import (
+    mask_features,
+    node_features,
+    pretraining_loss,
+    training_examples,
+    write_examples,
+)
+from gridweave.session import at_least_parallel, configure, materialize
 from gridweave.sources.interactions import parse_interactions, read_lines, table_texts
 from gridweave.sources.stores import (
     Graph,

@@ -6,17 +6,18 @@ again after a lost executor draws the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
+import math
 
-def uniform(seed: str, *key: Column) -> Column:
-    """A draw from [0, 1) for `key`: the first 32 bits of an md5 digest."""
-    digest = F.md5(F.concat_ws("|", F.lit(seed), *key).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+from pyspark.sql import Column, functions as F
 
 
 def coin(rate: float, seed: str, *key: Column) -> Column:
-    return uniform(seed, *key) < F.lit(float(rate))
+    """True with probability `rate`: the first 32 bits of an md5 digest, read as a
+    fraction, are below it. Digits of equal length compare as their numbers do."""
+    if rate >= 1:
+        return F.lit(True)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *key).cast("binary"))
+    return F.substring(digest, 1, 8) < F.lit(f"{math.ceil(rate * 2**32):08x}")
 
 
 def shuffle_key(seed: str, key: Column) -> Column:

@@ -28,20 +28,29 @@ def node_type_code(type: Column) -> Column:
     return F.create_map(*chain.from_iterable(pairs))[type]
 
 
-def edge_end_types(label: Column) -> Column:
-    """Both end types of an `A-B` edge label, as an array."""
-    return F.split(label, "-")
+def relations_between(first: str, second: str, match: str = "either") -> list[int]:
+    """Channels of a connected pair of nodes of these types.
 
-
-def relations_of(first: Column, second: Column, match: str = "either") -> Column:
-    """Channels of a connected pair, given its end types, as array<int>.
-
-    `either` asks for one end type in the channel's pair, `both` for the two of them.
+    `either` asks for one type in the channel's pair of types, `both` for the two of them.
     """
     if match not in ("either", "both"):
         raise ValueError("match is 'either' or 'both'")
-    tests = []
-    for number, pair in enumerate(RELATIONS):
-        a, b = first.isin(*pair), second.isin(*pair)
-        tests.append(F.when((a | b) if match == "either" else (a & b), F.lit(number)))
-    return F.array_compact(F.array(*tests))
+    enough = any if match == "either" else all
+    return [n for n, pair in enumerate(RELATIONS) if enough(t in pair for t in (first, second))]
+
+
+def _rel_lookup(entries: dict[str, list[int]], key: Column) -> Column:
+    pairs = ((F.lit(k), F.array(*map(F.lit, v)).cast("array<int>")) for k, v in entries.items())
+    return F.create_map(*chain.from_iterable(pairs))[key]
+
+
+def edge_relations_of(label: Column, match: str = "either") -> Column:
+    """Channels of an edge labelled `A-B`, as array<int>."""
+    return _rel_lookup(
+        {f"{a}-{b}": relations_between(a, b, match) for a in NODE_TYPES for b in NODE_TYPES}, label
+    )
+
+
+def loop_relations_of(type: Column, match: str = "either") -> Column:
+    """Channels of a node's loop to itself, as array<int>."""
+    return _rel_lookup({t: relations_between(t, t, match) for t in NODE_TYPES}, type)

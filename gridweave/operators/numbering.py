@@ -42,6 +42,35 @@ def assign_gid(tables: DataFrame, order: list[str]) -> DataFrame:
     return dense_index(tables, [F.col(c) for c in order], "gid")
 
 
+def number_in_input_order(
+    tables: DataFrame, name: str = "gid", split: tuple[str, ...] = ("file_path", "block_start")
+) -> DataFrame:
+    """Number the rows of a file scan from 0 by file and by place in the file.
+
+    `tables` comes from the scan by steps without a shuffle (parsing, filtering), so the
+    rows of an input split are consecutive in one task. Only the list of splits, one
+    row each, is summed up in order; the tables themselves are neither sorted nor parsed
+    a second time.
+    """
+    stored = materialize(
+        tables.withColumn("_slot", F.monotonically_increasing_id()), "numbered-input"
+    )
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        stored.groupBy(*split)
+        .agg(F.min("_slot").alias("_first"), F.count("*").alias("_size"))
+        .select(
+            *split,
+            (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        )
+    )
+    return (
+        stored.join(shifts, list(split))
+        .withColumn(name, F.col("_slot") + F.col("_shift"))
+        .drop("_slot", "_shift")
+    )
+
+
 def node_positions(nodes: DataFrame) -> DataFrame:
     """Replace `pos` by the place of each node among the given nodes of its graph.
 

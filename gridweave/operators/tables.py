@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridweave.functions.nodes import node_id
-from gridweave.schemas import EDGE_KINDS, SEPARATOR, TABLE_SIZE_LIMIT
+from gridweave.schemas import EDGE_KINDS, NODE_TYPES, SEPARATOR, TABLE_SIZE_LIMIT
 
 
 def fits_size_limit(rows: Column, columns: Column, limit: int = TABLE_SIZE_LIMIT) -> Column:
@@ -61,56 +61,96 @@ def table_nodes(tables: DataFrame) -> DataFrame:
     )
 
 
-def _link(kind: int, a_row, a_col, b_row, b_col) -> Column:
-    numbers = zip(["a_row", "a_col", "b_row", "b_col"], [a_row, a_col, b_row, b_col])
+_VH, _H, _VE, _CELL, _CAPTION = range(len(NODE_TYPES))
+
+
+def _place(row, col, pos, prefix: str) -> list[Column]:
+    numbers = zip(["row", "col", "pos"], [row, col, pos])
+    return [F.lit(value).cast("int").alias(f"{prefix}_{name}") for name, value in numbers]
+
+
+def _link(kind: int, a: list, b: list) -> Column:
     return F.struct(
-        F.lit(kind).cast("tinyint").alias("kind"),
-        *[F.lit(value).cast("int").alias(name) for name, value in numbers],
+        F.lit(kind).cast("tinyint").alias("kind"), *_place(*a, "a"), *_place(*b, "b")
     )
 
 
 def table_edges(tables: DataFrame, dangling: bool = True) -> DataFrame:
-    """Edges (gid, src, dst, type), both directions, of the same tables.
+    """Edges (gid, src, dst, type, i, j), both directions, of the same tables.
 
-    A header cell is linked with its place in every row. Where a row is shorter
-    than the header that place holds no node; `dangling=False` leaves those edges
-    out, which saves the two joins of `induced_subgraph`.
+    Every node names its links to the hubs above it, so the positions `i` and `j` of
+    both ends follow from the node's own place, without a join. A header cell is also
+    linked with its place in rows too short to have a cell there; such an edge ends at no
+    node and has a null position. `dangling=False` leaves those edges out.
     """
-    last = F.size("rows") + 1
-
-    def below_header(cells: Column, r: Column) -> Column:
-        under = F.col("columns")
-        if not dangling:
-            under = F.slice(under, 1, F.least(F.size(under), F.size(cells)))
-        return F.transform(under, lambda _, c: _link(4, 0, c + 1, r + 1, c + 1))
-
-    links = F.concat(
-        F.transform("columns", lambda _, c: _link(0, 0, 0, 0, c + 1)),
-        F.flatten(
-            F.transform(
-                "rows",
-                lambda cells, r: F.transform(
-                    cells, lambda _, c: _link(1, r + 1, 0, r + 1, c + 1)
-                ),
-            )
+    n_cols, n_rows = F.size("columns"), F.size("rows")
+
+    def place(row, col, code: int, width=None) -> Column:
+        return F.struct(
+            F.lit(row).cast("int").alias("row"),
+            F.lit(col).cast("int").alias("col"),
+            F.lit(code).cast("tinyint").alias("code"),
+            F.lit(width).cast("int").alias("width"),
+        )
+
+    body = F.transform(
+        "rows",
+        lambda cells, r: F.concat(
+            F.array(place(r + 1, 0, _VE, F.size(cells))),
+            F.transform(cells, lambda _, c: place(r + 1, c + 1, _CELL)),
         ),
-        F.array(_link(2, last, 0, 0, 0)),
-        F.transform("rows", lambda _, r: _link(3, last, 0, r + 1, 0)),
-        F.flatten(F.transform("rows", below_header)),
     )
-    link = F.col("link")
-    labels = [F.array(*[F.lit(f"{p[i]}-{p[1 - i]}") for p in EDGE_KINDS]) for i in (0, 1)]
-    ends = tables.select("gid", F.explode(links).alias("link")).select(
+    places = F.concat(
+        F.array(place(0, 0, _VH)),
+        F.transform("columns", lambda _, c: place(0, c + 1, _H)),
+        F.flatten(body),
+        F.array(place(n_rows + 1, 0, _CAPTION)),
+    )
+    nodes = (
+        tables.select("gid", n_cols.alias("n_cols"), n_rows.alias("n_rows"), places.alias("places"))
+        .select("gid", "n_cols", "n_rows", F.size("places").alias("n"), F.posexplode("places"))
+        .select("gid", "n_cols", "n_rows", "n", "pos", "col.*")
+    )
+    row, col, pos, code = F.col("row"), F.col("col"), F.col("pos"), F.col("code")
+    own, header_hub = [row, col, pos], [0, 0, 0]
+    to_header_hub = F.array(_link(0, header_hub, own))
+    to_row_hub = _link(1, [row, 0, pos - col], own)
+    to_header = _link(4, [0, col, col], own)
+    to_caption = F.array(_link(3, [F.col("n_rows") + 1, 0, F.col("n") - 1], own))
+    if dangling:
+        missing = F.transform(
+            F.sequence(F.col("width") + 1, F.col("n_cols")),
+            lambda c: _link(4, [0, c, c], [row, c, None]),
+        )
+        to_caption = F.when(
+            F.col("width") < F.col("n_cols"), F.concat(to_caption, missing)
+        ).otherwise(to_caption)
+    links = (
+        F.when((code == _CELL) & (col <= F.col("n_cols")), F.array(to_row_hub, to_header))
+        .when(code == _CELL, F.array(to_row_hub))
+        .when(code == _VE, to_caption)
+        .when(code == _H, to_header_hub)
+        .when(code == _CAPTION, F.array(_link(2, own, header_hub)))
+    )
+    ends = nodes.select("gid", F.inline(links)).select(
         "gid",
-        link["kind"].alias("kind"),
-        node_id(F.col("gid"), link["a_row"], link["a_col"]).alias("a"),
-        node_id(F.col("gid"), link["b_row"], link["b_col"]).alias("b"),
+        "kind",
+        node_id(F.col("gid"), F.col("a_row"), F.col("a_col")).alias("a"),
+        node_id(F.col("gid"), F.col("b_row"), F.col("b_col")).alias("b"),
+        "a_pos",
+        "b_pos",
     )
 
-    def direction(src: str, dst: str, label: Column) -> Column:
+    def direction(src: str, dst: str, names: list[str]) -> Column:
+        labels = F.array(*[F.lit(name) for name in names])
         return F.struct(
-            F.col(src).alias("src"), F.col(dst).alias("dst"), label[F.col("kind")].alias("type")
+            F.col(src).alias("src"),
+            F.col(dst).alias("dst"),
+            labels[F.col("kind")].alias("type"),
+            F.col(f"{src}_pos").alias("i"),
+            F.col(f"{dst}_pos").alias("j"),
         )
 
-    both = F.array(direction("a", "b", labels[0]), direction("b", "a", labels[1]))
-    return ends.select("gid", F.inline(both))
+    forth = direction("a", "b", [f"{x}-{y}" for x, y in EDGE_KINDS])
+    back = direction("b", "a", [f"{y}-{x}" for x, y in EDGE_KINDS])
+    return ends.select("gid", F.inline(F.array(forth, back)))

@@ -34,7 +34,8 @@ def dictionary_size(counts: DataFrame) -> DataFrame:
 def number_words(counts: DataFrame) -> DataFrame:
     """Dictionary (word, cnt, word_id) of counted words.
 
-    The special words come first and keep their ids also where the corpus has them;
+    The special words come first, with count 0, and keep their ids also where the corpus
+    has them;
     the other words follow by falling count, then by word.
     """
     ordinary = counts.where(~F.col("word").isin(SPECIAL_WORDS)).select("word", "cnt")
@@ -42,7 +43,7 @@ def number_words(counts: DataFrame) -> DataFrame:
         ordinary, [F.col("cnt").desc(), F.col("word")], "word_id", FIRST_WORD_ID
     )
     specials = counts.sparkSession.createDataFrame(
-        [(word, None, i) for i, word in enumerate(SPECIAL_WORDS)],
+        [(word, 0, i) for i, word in enumerate(SPECIAL_WORDS)],
         "word string, cnt long, word_id long",
     )
     return specials.unionByName(numbered.select("word", "cnt", "word_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.operators.numbering import assign_gid
+from gridweave.operators.numbering import number_in_input_order
 from gridweave.operators.tables import filter_table_size, graph_count, table_edges, table_nodes
 from gridweave.operators.vocabulary import build_dictionary, word_counts
 from gridweave.schemas import TABLE_SIZE_LIMIT
@@ -17,7 +17,7 @@ def numbered_tables(
     """Tables of the record files below the size limit, numbered in input order."""
     records = interactions.parse_interactions(interactions.read_lines(spark, path), mode)
     tables = filter_table_size(interactions.table_texts(records), limit)
-    return assign_gid(tables, interactions.ORDER)
+    return number_in_input_order(tables)
 
 
 def build_graph(tables: DataFrame, dangling: bool = True) -> stores.Graph:

@@ -80,7 +80,7 @@ TABLE_SCHEMA = (
     "id string, columns array<string>, rows array<array<string>>, questions array<string>"
 )
 NODE_SCHEMA = "gid long, row int, col int, pos int, id string, type string, text string"
-EDGE_SCHEMA = "gid long, src string, dst string, type string"
+EDGE_SCHEMA = "gid long, src string, dst string, type string, i int, j int"
 DICTIONARY_SCHEMA = "word string, cnt long, word_id long"
 
 # ---------------------------------------------------------------------------

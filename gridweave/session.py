@@ -53,3 +53,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan that has fewer partitions than the session has cores,
+    as a single file with one row group has. A scan of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

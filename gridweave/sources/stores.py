@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweave.functions.nodes import parse_node_id
 from gridweave.operators.vocabulary import number_words
-from gridweave.schemas import EDGE_SCHEMA, NODE_SCHEMA
+from gridweave.schemas import EDGE_SCHEMA, FIRST_WORD_ID, NODE_SCHEMA
 
 
 class Graph(NamedTuple):
@@ -49,7 +49,10 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 
 def read_id_only_graph(spark: SparkSession, path: str) -> Graph:
-    """A store whose nodes carry (id, type, text) and whose edges carry (src, dst, type)."""
+    """A store whose nodes carry (id, type, text) and whose edges carry (src, dst, type).
+
+    `node_positions` and `edge_positions` add what the other operators need.
+    """
     nodes = spark.read.schema("id string, type string, text string").parquet(
         f"{path}/node.parquet"
     )
@@ -94,7 +97,7 @@ def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
     """Lines `word count`; special words are implied and not written."""
-    dictionary.where(F.col("cnt").isNotNull()).select(
+    dictionary.where(F.col("word_id") >= FIRST_WORD_ID).select(
         F.concat_ws(" ", "word", "cnt").alias("value")
     ).write.mode("overwrite").text(path)
 
