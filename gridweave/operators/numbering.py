@@ -10,16 +10,20 @@ from gridweave.session import materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row in these, the partition above
 
 
-def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+def dense_index(
+    df: DataFrame, order: list[Column], name: str, start: int = 0, partitions: int | None = None
+) -> DataFrame:
     """Add `name`: start, start + 1, ... in the order of `order`, which must be unique.
 
     One range shuffle sorts the rows; each partition numbers its own, and the
     partition sizes (one row per partition) give the offsets. The sorted rows are
-    written out once, so both passes see the same partitions.
+    written out once, so both passes see the same partitions. `partitions` fixes their
+    number, which is otherwise left to adaptive execution.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
     stored = materialize(
-        ranged.withColumn("_slot", F.monotonically_increasing_id()), "dense-index"
+        ranged.sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id()),
+        "dense-index",
     )
     part = F.shiftright("_slot", _LOCAL_BITS)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,9 +41,9 @@ def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 0) -
     )
 
 
-def assign_gid(tables: DataFrame, order: list[str]) -> DataFrame:
+def assign_gid(tables: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Number the tables from 0 in the order of the columns `order`."""
-    return dense_index(tables, [F.col(c) for c in order], "gid")
+    return dense_index(tables, [F.col(c) for c in order], "gid", partitions=partitions)
 
 
 def number_in_input_order(

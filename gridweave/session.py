@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +19,32 @@ SETTINGS = {
 }
 
 
+# Row groups of intermediate tables, small enough to give every core a share.
+ROW_GROUP_BYTES = 16 << 20
+
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; they change plans, never results."""
+    """Apply the runtime settings, which change plans but never results, and send the
+    package to the Python workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.sparkContext.applicationId not in _shipped:
+        spark.sparkContext.addPyFile(_packed())
+        _shipped.add(spark.sparkContext.applicationId)
     return spark
 
 
+def _packed() -> str:
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gridweave-py-")) / "gridweave.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    return str(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a temporary folder only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -51,7 +72,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     number, say) stays the same when an executor is lost and tasks run again.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

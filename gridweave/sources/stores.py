@@ -17,26 +17,25 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
-def write_graph(graph: Graph, path: str, count: DataFrame | None = None) -> None:
+def write_graph(
+    graph: Graph, path: str, count: DataFrame | None = None, in_order: bool = False
+) -> None:
     """Node and edge tables under `path`, ordered by graph, so that the row-group
     statistics skip what a search by `gid` does not need.
 
-    The range key goes down to the node, so one large graph spreads over files.
+    The range key goes down to the node, so one large graph spreads over files. With
+    `in_order` the rows are only sorted where they are, without a shuffle: for graphs of
+    tables that lie in the order of `gid`, as `assign_gid` leaves them.
     `count` is the one-row frame of `graph_count`; it lands in the `numid.txt` folder.
     """
-    nodes, edges = graph
-    (
-        nodes.repartitionByRange("gid", "row", "col")
-        .sortWithinPartitions("gid", "row", "col")
-        .write.mode("overwrite")
-        .parquet(f"{path}/node.parquet")
-    )
-    (
-        edges.repartitionByRange("gid", "src", "dst")
-        .sortWithinPartitions("gid", "src", "dst")
-        .write.mode("overwrite")
-        .parquet(f"{path}/edge.parquet")
-    )
+    for rows, name, keys in [
+        (graph.nodes, "node", ["gid", "row", "col"]),
+        (graph.edges, "edge", ["gid", "src", "dst"]),
+    ]:
+        placed = rows if in_order else rows.repartitionByRange(*keys)
+        placed.sortWithinPartitions(*keys).write.mode("overwrite").parquet(
+            f"{path}/{name}.parquet"
+        )
     if count is not None:
         write_graph_count(count, path)
 

@@ -111,7 +111,9 @@ def order_records(spark: SparkSession, sf: str) -> DataFrame:
 @once
 def order_tables(spark: SparkSession, sf: str) -> DataFrame:
     tables = gw.filter_table_size(order_records(spark, sf))
-    return gw.materialize(gw.assign_gid(tables, ["o_orderkey"]), "order-tables")
+    # A table becomes many nodes and edges, so the work is spread before it grows.
+    partitions = 2 * spark.sparkContext.defaultParallelism
+    return gw.materialize(gw.assign_gid(tables, ["o_orderkey"], partitions), "order-tables")
 
 
 def supplier_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +136,8 @@ def order_graph(spark: SparkSession, sf: str) -> gw.Graph:
     """The order graph read back from a store."""
     path = scratch_path(spark, "order-graph")
     tables = order_tables(spark, sf)
-    gw.write_graph(gw.build_graph(tables, dangling=False), path, gw.graph_count(tables))
+    graph = gw.build_graph(tables, dangling=False)
+    gw.write_graph(graph, path, gw.graph_count(tables), in_order=True)
     return gw.read_graph(spark, path)
 
 

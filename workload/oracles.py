@@ -172,8 +172,8 @@ def _tokenized(table: str, keys: str, text: str) -> str:
 # --- vectors and attention --------------------------------------------------
 
 
-def _rounded(value: str, digits: int = 4) -> str:
-    return f"round({value}, {digits}) + 0.0"
+def _rounded(value: str) -> str:
+    return f"floor(({value}) * 10000 + 0.5) / 10000"
 
 
 def _spread(vector: str, size: int) -> str:
