@@ -58,11 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    """A new path in the application's part of the shared folder, which is removed when
+    the driver's JVM ends."""
+    root = f"{shared_dir(spark)}/gridweave-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # only an existing path can be marked for removal
+    files.deleteOnExit(folder)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
