@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import gridweave as gw
@@ -282,7 +283,7 @@ def skipgram_scores(spark, sf):
 @query
 def word2vec_vectors(spark, sf):
     model = gw.fit_word2vec(fx.documents(spark, sf), size=100, min_count=1)
-    return model.getVectors()
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 @query
