@@ -30,6 +30,11 @@ def configure(spark: SparkSession) -> SparkSession:
     package to the Python workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once for each application."""
     if spark.sparkContext.applicationId not in _shipped:
         spark.sparkContext.addPyFile(_packed())
         _shipped.add(spark.sparkContext.applicationId)
@@ -79,6 +84,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def at_least_parallel(df: DataFrame) -> DataFrame:
     """Spread the rows of a scan that has fewer partitions than the session has cores,
     as a single file with one row group has. A scan of many files stays as it is."""
