@@ -3,49 +3,79 @@
 from __future__ import annotations
 
 import os
+import struct
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from gridweave.llm.common import map_arrow, texts
-from gridweave.operators.numbering import dense_index
+from gridweave.llm.common import texts
+from gridweave.session import materialize
 
 LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a worker remembers; longer words are not remembered.
-REMEMBERED = 400_000
+# Words, and words without case and punctuation, whose ids a worker remembers. Longer
+# ones are not remembered.
+REMEMBERED = 300_000
+REMEMBERED_UNITS = 800_000
 REMEMBERED_BYTES = 40
+# What may end a word: signs that the tokenizer takes apart from letters.
+SIGNS = b".,:;!?*#$%&|"
 
 
 class WordIds(dict):
     """Ids of each word as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words, one after the other. The table starts anew when it is full.
+    those of its words, one after the other. It ignores case and takes letters apart from
+    signs, so a word of letters with signs at its end is two units, each looked up by
+    itself; other words go to the tokenizer as they are. Tables start anew when full.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
-        missing = [w for w in words if w not in self and len(w) <= REMEMBERED_BYTES]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        for word, encoding in zip(missing, found, strict=True):
-            self[word] = _packed(encoding.ids)
+        self.model = self.tokenizer.model
+        self.units: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(word) > REMEMBERED_BYTES:
+            return self._encoded(word)
+        core = word.lower().rstrip(SIGNS)
+        if core.isalpha() or core.decode().isalpha():
+            ids = self._unit(core)
+            if len(core) < len(word):
+                ids += self._unit(word[len(core) :])
+        else:
+            ids = self._encoded(word)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _unit(self, unit: bytes) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            if len(self.units) >= REMEMBERED_UNITS:
+                self.units.clear()
+            # lower-case ASCII letters need no normalising and no cutting
+            ids = _packed([t.id for t in self.model.tokenize(unit.decode())]) if unit.isalpha() else self._encoded(unit)
+            self.units[unit] = ids
+        return ids
+
+    def _encoded(self, word: bytes) -> bytes:
         return _packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -60,33 +90,44 @@ def cut(tokens: int, length: int = LENGTH) -> list[int]:
     return [length] * full + [1 << i for i in reversed(range(length.bit_length() - 1)) if rest >> i & 1]
 
 
-def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens): each document's ids and `end_id`, cut in
-    pieces whose lengths are powers of two up to `length`. `ids` holds the piece's ids as
-    little-endian unsigned 32-bit numbers. A null or blank text is `end_id` alone."""
+def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, part, rank, ids): each document's ids and
+    `end_id`, cut in pieces whose lengths are powers of two up to `length`.
+
+    `ids` holds the piece's ids as little-endian unsigned 32-bit numbers, null if they are
+    not asked for. `part` is the task, `rank` the piece's place among the task's pieces of
+    its length. A null or blank text is `end_id` alone.
+    """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     end = end_id.to_bytes(4, "little")
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = word_ids(path)
-        split = [(t or b"").split() for t in texts(batch)]
-        table.learn(set().union(*split))
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for doc, words in zip(batch.column(0).to_pylist(), split, strict=True):
-            ids = b"".join(map(table.__getitem__, words)) + end
-            total, start = len(ids) // 4, 0
-            for n in cut(total, length):
-                for column, value in zip(out, (doc, start, n, ids[4 * start : 4 * (start + n)], total), strict=True):
-                    column.append(value)
-                start += n
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        return pa.record_batch(
-            [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-            ["doc_id", "start", "length", "ids", "doc_tokens"],
-        )
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = word_ids(path), TaskContext.get().partitionId()
+        seen: Counter[int] = Counter()
+        for batch in batches:
+            out = []
+            for doc, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                ids = b"".join(map(table.__getitem__, (t or b"").split())) + end
+                total, start = len(ids) // 4, 0
+                for n in cut(total, length):
+                    piece = ids[4 * start : 4 * (start + n)]
+                    out.append((doc, start, n, zlib.crc32(piece), total, part, seen[n], piece if with_ids else None))
+                    seen[n] += 1
+                    start += n
+            if out:
+                yield pa.record_batch(
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], list(NAMES)
+                )
 
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(slim, rows, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return slim.mapInArrow(
+        over,
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long, ids binary",
+    )
+
+
+NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids")
+KINDS = (*[pa.int64()] * 5, pa.int32(), pa.int64(), pa.binary())
 
 
 def pack(cut_docs: DataFrame) -> DataFrame:
@@ -95,13 +136,36 @@ def pack(cut_docs: DataFrame) -> DataFrame:
     A piece is a sequence of its own, as long as a power of two, so nothing is padded and
     no sequence holds two documents. Sequences of one length have consecutive numbers,
     the longest first, so a reader takes equal lengths together by a range of numbers.
-    Numbers come from one range sort. Equal pieces of equal documents may swap numbers.
+    Pieces are stored once, in the tasks that cut them. Only the number of pieces by task and
+    length is summed up, so that a piece's number is its rank and those before it.
     """
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    return dense_index(cut_docs, order, "sequence_id").withColumn("offset", F.lit(0).cast("long"))
+    stored = materialize(cut_docs, "pieces")
+    counts = stored.groupBy("length", "part").agg(F.count("*").alias("n"))
+    earlier = (Window.unboundedPreceding, -1)
+    longer = counts.groupBy("length").agg(F.sum("n").alias("n")).select(  # a row for each power of two
+        "length", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(*earlier)), F.lit(0)).alias("base")
+    )
+    within = Window.partitionBy("length").orderBy("part").rowsBetween(*earlier)
+    firsts = materialize(
+        counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
+        .join(longer, "length")
+        .select("length", "part", (F.col("base") + F.col("before")).alias("first")),
+        "piece-counts",
+    )
+    return (
+        stored.join(firsts, ["length", "part"])
+        .withColumn("sequence_id", F.col("first") + F.col("rank"))
+        .withColumn("offset", F.lit(0).cast("long"))
+        .drop("part", "rank", "first")
+    )
 
 
 def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """`pieces` with the unsigned CRC-32 of their ids, in sequences by `pack`."""
-    found = pieces(docs, id, text, tokenizer, length).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(found if with_ids else found.drop("ids"))
+    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset) for every piece.
+
+    Repeated rows and rows that share an id are packed each for itself, null ids too; a
+    very long text is cut like any other; an empty table gives no pieces. Further columns are
+    ignored.
+    """
+    packed = pack(pieces(docs, id, text, tokenizer, length, with_ids=with_ids))
+    return packed if with_ids else packed.drop("ids")
