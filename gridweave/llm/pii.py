@@ -251,8 +251,7 @@ def _domain_dots(text: str) -> list[tuple[int, int, str]]:
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(plain identifiers, all identifiers), each by kind, then start.
 
-    What the normalised text shows beyond the plain ones is added if it overlaps no
-    plain or added span of its kind.
+    What the normalised text shows is added unless a span of its kind already covers it.
     """
     if not text:
         return [], []
@@ -263,7 +262,7 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
     every = list(base)
     for kind, start, end in base_spans(clear.text):
         start, end = clear.source(start, end)
-        if start < end and not any(k == kind and s < end and start < e for k, s, e in every):
+        if start < end and not any(k == kind and s <= start and end <= e for k, s, e in every):
             every.append((kind, start, end))
     every.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, every
