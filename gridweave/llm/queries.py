@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, and their SQL."""
+"""Registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweave.llm import language, mixing, packing, pii, quality, rules, secret_scan, simhash, vectors, warc
 from gridweave.llm.common import read_table
+from gridweave.llm.oracles import ORACLES  # noqa: F401  the queries' SQL goes with them
 
 
 def op1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,79 +65,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-
-
-def _mixing_sql() -> str:
-    """The strata follow each other, so their SQL is written out one by one."""
-    head = r"""
-        WITH sized AS (
-            SELECT doc_id, source,
-                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
-            FROM documents
-        ), sources AS (
-            SELECT source, sum(size)::BIGINT AS source_size,
-                   row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
-            FROM sized GROUP BY source
-        ), weighed AS (
-            SELECT *, (1 + place % 3)::DOUBLE AS w, (3 * source_size)::DOUBLE AS most FROM sources
-        ), levels AS (
-            SELECT ((SELECT sum(source_size) FROM weighed)
-                    - coalesce(sum(3 * source_size) OVER earlier, 0))::DOUBLE
-                   / ((SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER earlier, 0)) AS level
-            FROM weighed
-            WINDOW earlier AS (ORDER BY most / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-        ), targets AS (
-            SELECT source, source_size, least(most, (SELECT max(level) FROM levels) * w) AS target FROM weighed
-        ), classed AS (
-            SELECT *, length(bin(size)) AS class, row_number() OVER (
-                PARTITION BY source ORDER BY size DESC, md5(concat_ws('-', doc_id, 'mix')), doc_id) - 1 AS i
-            FROM sized
-        ), classes AS (
-            SELECT source, class, sum(size)::BIGINT AS words, count(*) AS docs, min(i) AS first_i
-            FROM classed GROUP BY ALL
-        ), rests AS (
-            SELECT c.*, source_size, target, (source_size - coalesce(sum(words) OVER (
-                PARTITION BY c.source ORDER BY class DESC
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest
-            FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
-        ), placed AS (
-            SELECT *, (SELECT count(*) FROM range(1, STRATA) k(k) WHERE rest * (1 << k::INT) <= source_size) AS stratum
-            FROM rests
-        ), strata AS (
-            SELECT source, stratum, min(first_i) AS first_i, sum(docs)::BIGINT AS docs, sum(words)::BIGINT AS words
-            FROM placed GROUP BY ALL
-        ), docs AS (
-            SELECT d.doc_id, d.source, d.size, d.i - s.first_i AS j, p.stratum, p.source_size, p.target
-            FROM classed d
-            JOIN placed p ON d.source IS NOT DISTINCT FROM p.source AND d.class = p.class
-            JOIN strata s ON d.source IS NOT DISTINCT FROM s.source AND p.stratum = s.stratum
-        ), state0 AS (
-            SELECT source, target AS left_target, source_size AS left_words,
-                   ('0x' || substr(md5('mix-' || coalesce(source, '')), 1, 4))::BIGINT / 65536.0::DOUBLE AS u
-            FROM targets
-        )"""
-    step = """, rate{k} AS (
-            SELECT source, u, CASE WHEN left_words > 0
-                THEN least(greatest(left_target / left_words, 0.0::DOUBLE), 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
-            FROM state{k}
-        ), taken{k} AS (
-            SELECT doc_id, d.source, size, source_size, target,
-                   (least(floor(u + (j + 1) * rate) - floor(u + j * rate), 3) * size)::BIGINT AS taken
-            FROM docs d JOIN rate{k} r ON d.source IS NOT DISTINCT FROM r.source WHERE stratum = {k}
-        ), state{next} AS (
-            SELECT t.source, left_target - coalesce(taken, 0) AS left_target,
-                   left_words - coalesce(words, 0) AS left_words,
-                   coalesce(t.u + docs * rate - floor(t.u + docs * rate), t.u) AS u
-            FROM state{k} t JOIN rate{k} r ON t.source IS NOT DISTINCT FROM r.source
-            LEFT JOIN (SELECT source, sum(taken)::BIGINT AS taken FROM taken{k} GROUP BY source) n
-                ON t.source IS NOT DISTINCT FROM n.source
-            LEFT JOIN (SELECT * FROM strata WHERE stratum = {k}) s ON t.source IS NOT DISTINCT FROM s.source
-        )"""
-    steps = "".join(step.format(k=k, next=k + 1) for k in range(mixing.STRATA))
-    every = " UNION ALL ".join(
-        f"SELECT doc_id, size, source_size, target, taken FROM taken{k}" for k in range(mixing.STRATA)
-    )
-    return head.replace("STRATA", str(mixing.STRATA)) + steps + every
-
-
-ORACLES = {"op6_mixing": _mixing_sql()}
