@@ -34,7 +34,7 @@ RULES = rf"""
            NOT (base_failed
                 OR 10 * n_symbols > 3 * n_words
                 OR word_chars NOT BETWEEN 2 * n_words AND 25 * n_words
-                OR 10 * n_dup_lines > 3 * len(lines)
+                OR 2 * n_dup_lines > len(lines)
                 OR 2 * len(list_filter(words, lambda w: ends_with(w, '!!'))) > n_words
                 OR 2 * len(list_filter(words, lambda w: regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) > n_words
                 OR (n_words >= 50 AND len(list_distinct(words)) ** 2 < n_words)) AS kept

@@ -108,7 +108,7 @@ def _word_length(d: Document) -> bool:
 
 
 def _duplicate_lines(d: Document) -> bool:
-    return 10 * d.n_dup_lines > 3 * len(d.lines)
+    return 2 * d.n_dup_lines > len(d.lines)
 
 
 def _shouting(d: Document) -> bool:

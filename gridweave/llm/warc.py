@@ -11,7 +11,7 @@ from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweave.session import materialize, scratch_path
 
@@ -273,6 +273,12 @@ def _row(record: Record) -> tuple:
     return number("X-Page-ID"), length, digest, h["WARC-Type"], number("X-Refers-To-Page-ID"), payload
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which workers would otherwise take to be the local one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
+
+
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Write `pages` to archives, normalise these, and give the rows read back from them.
 
@@ -280,6 +286,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
     are responses unless an equal payload has an id. Rows that repeat an id and its
     payload are alike. Further columns are ignored; no rows, no archives.
     """
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = folder or _qualified(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))
     written = write_archives(classified(pages, least_bytes), f"{folder}/streams")
     return read_archives(normalize_archives(written, f"{folder}/members"))
