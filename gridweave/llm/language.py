@@ -95,18 +95,19 @@ def fit(docs: DataFrame) -> Model:
 
 
 def _mixtures(
-    p: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, parts: np.ndarray, top: np.ndarray
+    p: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, parts: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the languages in each document by expectation-maximisation from
-    `parts`, zeros staying zero, and the log-likelihoods (less what does not depend on
-    them). Rows of `p` are n-grams with their likelihoods, documents are runs of rows."""
-    total = np.add.reduceat(counts, starts)[:, None]
+    `parts`, zeros staying zero, and the log-likelihoods less what does not depend on
+    them. Columns of `p` are n-grams with their likelihoods, documents are runs of
+    columns; languages are rows."""
+    total = np.add.reduceat(counts, starts)
     for _ in range(ROUNDS):
-        joint = p * np.repeat(parts, sizes, 0)
-        joint *= (counts / joint.sum(1))[:, None]
-        parts = np.add.reduceat(joint, starts, 0) / total
-    mixed = (p * np.repeat(parts, sizes, 0)).sum(1)
-    return parts, np.add.reduceat(counts * (np.log(mixed) + top), starts)
+        joint = p * np.repeat(parts, sizes, 1)
+        joint *= counts / joint.sum(0)
+        parts = np.add.reduceat(joint, starts, 1) / total
+    mixed = (p * np.repeat(parts, sizes, 1)).sum(0)
+    return parts, np.add.reduceat(counts * np.log(mixed), starts)
 
 
 def proportions(model: Model, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -118,28 +119,25 @@ def proportions(model: Model, found: list[tuple[np.ndarray, np.ndarray]]) -> np.
     """
     sizes = np.array([len(g) for g, _ in found])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    every = np.concatenate([g for g, _ in found])
     counts = np.concatenate([c for _, c in found]).astype(np.float64)
-    log_p = model.log_p[every].astype(np.float64)
-    top = log_p.max(1)
-    p = np.exp(log_p - top[:, None])
+    log_p = model.log_p[np.concatenate([g for g, _ in found])].astype(np.float64)
+    p = np.ascontiguousarray(np.exp(log_p - log_p.max(1, keepdims=True)).T)
     n = len(model.languages)
-    full, _ = _mixtures(p, counts, starts, sizes, np.full((len(found), n), 1 / n), top)
-    rank = np.argsort(np.argsort(-full, 1, kind="stable"), 1)
-    tried = np.maximum(1, (full >= LEAST_PART).sum(1))
-    best, gain = np.zeros((len(found), n)), np.full(len(found), -np.inf)
+    full, _ = _mixtures(p, counts, starts, sizes, np.full((n, len(found)), 1 / n))
+    rank = np.argsort(np.argsort(-full, 0, kind="stable"), 0)
+    tried = np.maximum(1, (full >= LEAST_PART).sum(0))
+    best, gain = np.zeros((n, len(found))), np.full(len(found), -np.inf)
     cost = PENALTY * np.log(1 + np.add.reduceat(counts, starts))
     for k in range(1, int(tried.max()) + 1):
         some = np.flatnonzero(tried >= k)
-        rows = np.repeat(tried >= k, sizes)
-        own = sizes[some]
-        begin = np.concatenate(([0], np.cumsum(own)[:-1]))
-        parts, fit = _mixtures(p[rows], counts[rows], begin, own, (rank[some] < k) / k, top[rows])
+        own = np.repeat(tried >= k, sizes)
+        begin = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+        parts, fit = _mixtures(p[:, own], counts[own], begin, sizes[some], (rank[:, some] < k) / k)
         fit -= (k - 1) * cost[some]
         better = fit > gain[some]
         gain[some[better]] = fit[better]
-        best[some[better]] = parts[better]
-    return best
+        best[:, some[better]] = parts[:, better]
+    return best.T
 
 
 def predict(model: Model, column: list[bytes | None]) -> list[tuple[str, float]]:
