@@ -176,7 +176,13 @@ def _with_copies(placed: DataFrame, rates: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", id: str = "doc_id", seed: str = "mix") -> DataFrame:
+def mix(
+    docs: DataFrame,
+    source: str = "source",
+    text: str = "text",
+    id: str = "doc_id",
+    seed: str = "mix",
+) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with the columns of `docs`."""
     taken = copies(docs, source, text, id, seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

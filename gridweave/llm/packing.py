@@ -90,7 +90,15 @@ def cut(tokens: int, length: int = LENGTH) -> list[int]:
     return [length] * full + [1 << i for i in reversed(range(length.bit_length() - 1)) if rest >> i & 1]
 
 
-def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pieces(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    tokenizer: str | None = None,
+    length: int = LENGTH,
+    end_id: int = END_ID,
+    with_ids: bool = True,
+) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, part, rank, ids): each document's ids and
     `end_id`, cut in pieces whose lengths are powers of two up to `length`.
 
@@ -160,7 +168,14 @@ def pack(cut_docs: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    tokenizer: str | None = None,
+    length: int = LENGTH,
+    with_ids: bool = True,
+) -> DataFrame:
     """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset) for every piece.
 
     Repeated rows and rows that share an id are packed each for itself, null ids too; a

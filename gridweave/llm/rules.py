@@ -137,7 +137,9 @@ def base_failed(d: Document) -> bool:
     return d.n_words < LEAST_WORDS or 100 * d.n_repeat_words > MOST_REPEATED * d.n_words
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> dict[str, tuple[float, float]]:
+def measure(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text"
+) -> dict[str, tuple[float, float]]:
     """{rule: (seconds a document, share rejected)} on a sample of about `rows` rows.
 
     Workers time each rule on documents of its own, so that work which rules share counts
@@ -183,7 +185,9 @@ def first_rejection(d: Document, rules: tuple[Rule, ...]) -> str | None:
     return next((r.name for r in rules if r.rejects(d)), None)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """(doc_id, counts, base_failed, kept, rejected_by) for every row of `docs`.
 
     The base counts decide first; a document that passes goes through the cascade, whose

@@ -56,7 +56,9 @@ def _key(id: str, text: str) -> Column:
     return F.xxhash64(F.col(id), F.col(text))
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """The inverted index (block, trigram, docs) of the trigrams that the rules ask for,
     stored in the shared folder. `docs` is a posting list: sorted keys of the documents of
     the block whose text, in lower case, has the trigram. Blocks deal documents by hash."""
@@ -152,7 +154,9 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.transform(kept, lambda x: x["span"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """(doc_id, found) for every row: `found` is an array of (kind, start, end) by start, then
     by the order of the rules.
 

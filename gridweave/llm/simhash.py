@@ -61,7 +61,9 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, parts: int = 1) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, parts: int = 1
+) -> DataFrame:
     """(doc_id, fp) for every row; `fp` has `parts` signed longs of 64 bits each."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -245,7 +247,9 @@ class Similar:
         return window_keys(fp, self.parts, min(BITS - 1, width), self.step)
 
 
-def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact | Similar = Exact()) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact | Similar = Exact()
+) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`; `near` says what links.
 
     Rows with equal fingerprints become one node, named by its smallest id, before
@@ -285,7 +289,9 @@ def as_hex(fp: str) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))), "")
 
 
-def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact | Similar = Similar()) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact | Similar = Similar()
+) -> DataFrame:
     """The rows of `docs` whose document is the smallest of its component, all columns.
 
     Of rows with the same id one stays. Rows without an id stay.

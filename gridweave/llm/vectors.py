@@ -152,7 +152,9 @@ def _stars(q_id: np.ndarray, m_id: np.ndarray, linked: np.ndarray) -> list[tuple
     return out
 
 
-def unit_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def unit_vectors(
+    vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label"
+) -> DataFrame:
     """(vec_id, label, vector, usable) for every row: `vector` as doubles of length 1.
 
     Rows with a null id or label, with a null, empty or zero vector, or with a component
@@ -289,7 +291,13 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
     return sums, found.where("b is not null").select("a", "b").distinct()
 
 
-def vector_components(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def vector_components(
+    vectors: DataFrame,
+    cosine: float = COSINE,
+    id: str = "vec_id",
+    vector: str = "embedding",
+    label: str = "label",
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors`.
 
     Two rows link if their labels are equal and the cosine of their vectors, of one

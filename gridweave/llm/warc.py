@@ -44,7 +44,9 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid5(NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_response: bool) -> Record:
+def page_record(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_response: bool
+) -> Record:
     """A response with the page, or a revisit that points to the response with its payload."""
     digest = sha1_base32(payload)
     headers = {
@@ -145,7 +147,9 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(
+    records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
     """Write `classified` rows as gzip files of one stream each; return (path, records).
 
     Each task writes files of its own under new names, and the table of names is stored
