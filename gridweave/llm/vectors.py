@@ -22,7 +22,7 @@ LEAST_TRAINED = 8192
 # Vectors of one list, about; and the most lists.
 LIST_VECTORS = 1000
 MOST_LISTS = 4096
-SUBSPACES = 16
+SUBSPACES = 8
 CODES = 64
 ROUNDS = 6
 # Vectors of either side that one task compares at a time.
