@@ -23,8 +23,8 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 # Words, and words without case and punctuation, whose ids a worker remembers. Longer
 # ones are not remembered.
-REMEMBERED = 300_000
-REMEMBERED_UNITS = 800_000
+REMEMBERED = 100_000
+REMEMBERED_UNITS = 150_000
 REMEMBERED_BYTES = 40
 # What may end a word: signs that the tokenizer takes apart from letters.
 SIGNS = b".,:;!?*#$%&|"
