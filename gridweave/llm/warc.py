@@ -103,14 +103,14 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """What a gzip file holds, whether it is one stream or many members."""
+    """What a gzip file holds, whether it is one stream or many members, in bounded parts."""
     inflate = zlib.decompressobj(GZIP)
     while chunk := source.read(CHUNK):
         while chunk:
-            yield inflate.decompress(chunk)
-            chunk = inflate.unused_data
+            yield inflate.decompress(chunk, CHUNK)
+            chunk = inflate.unconsumed_tail
             if inflate.eof:
-                inflate = zlib.decompressobj(GZIP)
+                chunk, inflate = inflate.unused_data, zlib.decompressobj(GZIP)
     yield inflate.flush()
 
 
