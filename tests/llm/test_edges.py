@@ -133,6 +133,19 @@ def test_warc_members_and_index(spark, tmp_path):
         assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == len(places)
 
 
+@pytest.mark.parametrize("members", [1, 3])
+def test_inflating_in_parts(monkeypatch, members):
+    import gzip
+    import io
+
+    monkeypatch.setattr(warc, "CHUNK", 100)
+    whole = b"".join(b"%d" % i * 50 for i in range(300)) + b"0" * 100_000
+    cut = len(whole) // members + 1
+    packed = b"".join(gzip.compress(whole[i : i + cut]) for i in range(0, len(whole), cut))
+    got = list(warc.inflated(io.BytesIO(packed)))
+    assert b"".join(got) == whole and max(map(len, got)) <= 100 + 258
+
+
 def test_warc_broken_archive():
     raw = warc.page_record(1, "u", b"abc", None, True).to_bytes()
     assert list(warc.split_records(iter([raw[:7], raw[7:], raw]))) == [raw, raw]
