@@ -70,13 +70,13 @@ def hinge_by_dual_descent(
     to each row; each is set in turn to its best value with the others fixed.
     """
     w, bias, dual = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
-    values = [scale[found] for found in rows]
-    norms = np.array([v @ v + 1 for v in values])
+    norms = np.array([scale[found] @ scale[found] + 1 for found in rows])
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         rng.shuffle(order)
         for i in order:
-            found, v = rows[i], values[i]
+            found = rows[i]
+            v = scale[found]
             slope = labels[i] * (w[found] @ v + bias) - 1
             step = min(max(dual[i] - slope / norms[i], 0), cost) - dual[i]
             if step:
@@ -156,9 +156,11 @@ def _feature_lists(text: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model of `labels.quality`, learned from the texts of a bounded sample."""
-    got = sample(docs, labels, per_class).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    rows = [np.array(r["features"], np.int32) for r in got]
-    return fit_rows(rows, np.array([2 * r["quality"] - 1 for r in got], np.int64))
+    got = sample(docs, labels, per_class).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    found = got["features"].combine_chunks()
+    ends = np.cumsum(found.value_lengths().to_numpy())[:-1] if len(found) else []
+    rows = np.split(found.flatten().to_numpy(), ends) if len(found) else []
+    return fit_rows(rows, 2 * got["quality"].to_numpy().astype(np.int64) - 1)
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text") -> Column:
