@@ -23,9 +23,11 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 # Words, and words without case and punctuation, whose ids a worker remembers. Longer
 # ones are not remembered.
-REMEMBERED = 100_000
-REMEMBERED_UNITS = 150_000
+REMEMBERED = 50_000
+REMEMBERED_UNITS = 100_000
 REMEMBERED_BYTES = 40
+# Documents whose ids a task holds at a time.
+DOCS_AT_ONCE = 100
 # What may end a word: signs that the tokenizer takes apart from letters.
 SIGNS = b".,:;!?*#$%&|"
 
@@ -112,7 +114,7 @@ def pieces(
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = word_ids(path), TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
-        for batch in batches:
+        for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
             out = []
             for doc, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 ids = b"".join(map(table.__getitem__, (t or b"").split())) + end
@@ -126,6 +128,7 @@ def pieces(
                 yield pa.record_batch(
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], list(NAMES)
                 )
+                pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(
