@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import acos, ceil, log2, pi
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridweave.llm.common import map_arrow, texts
 from gridweave.llm.components import connected_components
+from gridweave.llm.similar import similar_components
 from gridweave.session import materialize
 
 BITS = 64
@@ -226,29 +227,15 @@ class Exact:
 
 @dataclass(frozen=True)
 class Similar:
-    """Long fingerprints whose angle is that of texts with `similarity`, the share of common
-    shingles. Such pairs differ in too many bits for a short fingerprint to tell, and for
-    blocks that the pigeonhole rule makes certain; they share one of many windows of
-    bits with high probability: 0.86 at a similarity of 0.8, 0.99 at 0.9."""
+    """Texts whose sets of shingles of `words` words have a Jaccard similarity of
+    `similarity` or more, every pair of them and no other."""
 
     words: int = 5
     similarity: float = 0.8
-    parts: int = 4
-    width: int = 16
-    step: int = 8
-
-    @property
-    def distance(self) -> int:
-        cosine = 2 * self.similarity / (1 + self.similarity)
-        return round(BITS * self.parts * acos(cosine) / pi)
-
-    def keys(self, fp: Column, count: int) -> Column:
-        width = max(self.width, ceil(log2(max(2, count / EVEN_GROUP))))
-        return window_keys(fp, self.parts, min(BITS - 1, width), self.step)
 
 
 def simhash_components(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact | Similar = Exact()
+    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact = Exact()
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`; `near` says what links.
 
@@ -296,7 +283,10 @@ def drop_near_duplicates(
 
     Of rows with the same id one stays. Rows without an id stay.
     """
-    found = simhash_components(docs, id, text, near)
+    if isinstance(near, Similar):
+        found = similar_components(docs, id, text, near.words, near.similarity)
+    else:
+        found = simhash_components(docs, id, text, near)
     ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.min("component_id").alias("component_id")
     )

@@ -1,0 +1,70 @@
+"""The near-duplicate stage against brute force on both sides of its similarity."""
+
+import random
+
+import pytest
+
+from gridweave.llm import similar
+from tests.llm.test_edges import WORDS
+
+
+def words_of(rng, n):
+    return [f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(n)]
+
+
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def components(docs):
+    sets = {i: shingle_set(t) for i, t in docs}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = {n: lo if r == hi else r for n, r in root.items()}
+    return root
+
+
+def crowded():
+    """A large group of copies with changes, texts that only share a line, short texts."""
+    rng = random.Random(6)
+    line, base = words_of(rng, 12), words_of(rng, 90)
+    docs = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(90), rng.randrange(6)):
+            words[at] = rng.choice(WORDS)
+        docs.append(words)
+    docs += [line + words_of(rng, rng.randrange(8)) for _ in range(60)]
+    docs += [words_of(rng, 40) + line for _ in range(30)]
+    docs += [words_of(rng, rng.randrange(1, 5)) for _ in range(10)] + [line[:3], line[:3], [], []]
+    return list(enumerate(map(" ".join, docs)))
+
+
+def found(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["component_id"] for r in similar.similar_components(df).collect()}
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_crowded_groups(spark, monkeypatch, rounds):
+    monkeypatch.setattr(similar.similar_links, "__defaults__", (rounds,))
+    docs = crowded()
+    assert found(spark, docs) == components(docs)
+
+
+def test_exactly_the_similarity_links(spark):
+    rng = random.Random(7)
+    words = words_of(rng, 14)  # ten shingles; eight of ten, and eight of eleven
+    docs = [(1, " ".join(words)), (2, " ".join(words[2:])), (3, " ".join([*words[2:], "more"]))]
+    sets = [shingle_set(t) for _, t in docs]
+    assert jaccard(sets[0], sets[1]) == 0.8 and jaccard(sets[0], sets[2]) < 0.8
+    assert found(spark, docs[:2]) == {1: 1, 2: 1}
+    assert found(spark, [docs[0], docs[2]]) == {1: 1, 3: 3}
