@@ -68,3 +68,12 @@ def test_exactly_the_similarity_links(spark):
     assert jaccard(sets[0], sets[1]) == 0.8 and jaccard(sets[0], sets[2]) < 0.8
     assert found(spark, docs[:2]) == {1: 1, 2: 1}
     assert found(spark, [docs[0], docs[2]]) == {1: 1, 3: 3}
+
+
+@pytest.mark.parametrize(("sample", "least", "most"), [(1, 1, 9), (20, 1, 300), (20_000, 3, 0)])
+def test_sampling_by_the_size_of_the_table_changes_nothing(spark, monkeypatch, sample, least, most):
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    monkeypatch.setattr(similar, "LEAST_COMMON", least)
+    monkeypatch.setattr(similar, "MOST_COMMON", most)
+    docs = crowded()
+    assert found(spark, docs) == components(docs)
