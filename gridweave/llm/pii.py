@@ -118,6 +118,7 @@ _SPACED_AT = re.compile(
     re.IGNORECASE,
 )
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9-])[ ]+(dot|punkt|point|punto)[ ]+(?=[A-Za-z0-9-])", re.IGNORECASE)
+_DOT_BEFORE = re.compile(r"(?<=[ ])(dot|punkt|point|punto)\Z", re.IGNORECASE)
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _NUMBER_RUN = re.compile(
     rf"(?<!\w)(?:{_NUMBER_WORD})(?:[ .()+-]*(?<!\w)(?:{_NUMBER_WORD}))"
@@ -215,7 +216,7 @@ def normalize(text: str) -> Normalized | None:
     In turn: look-alike letters and digits become ASCII and invisible characters go;
     runs of number words become digits, "plus" before a digit a plus sign; "at" and
     "dot" become signs in brackets, or as words if what follows "at" is names with a
-    spelled dot before the last.
+    spelled dot before the last; "dot" also between names before an at sign.
     """
     now = Normalized(text)
     if not _ASCII_ONLY.match(text):
@@ -233,6 +234,8 @@ def normalize(text: str) -> Normalized | None:
         now = now.rewrite(changes)
     if "@" in now.text and (changes := _domain_dots(now.text)):
         now = now.rewrite(changes)
+    if "@" in now.text and (changes := _local_dots(now.text)):
+        now = now.rewrite(changes)
     return now if hasattr(now, "before") else None
 
 
@@ -248,6 +251,32 @@ def _domain_dots(text: str) -> list[tuple[int, int, str]]:
     ]
 
 
+def _local_dots(text: str) -> list[tuple[int, int, str]]:
+    """Spelled dots between names, directly before an at sign. Works from each @ backwards,
+    as `find_emails` does."""
+    changes, at = [], text.find("@")
+    while at >= 0:
+        found, start = [], at
+        while True:
+            name = start
+            while start and text[start - 1] in _LOCAL:
+                start -= 1
+            gap = start
+            while gap and start < name and text[gap - 1] == " ":
+                gap -= 1
+            word = gap < start and _DOT_BEFORE.search(text, max(0, gap - 6), gap)
+            end = word and word.start()
+            while end and text[end - 1] == " ":
+                end -= 1
+            if not word or end == word.start() or not end or text[end - 1] not in _LOCAL:
+                break
+            found.append((end, start, "."))
+            start = end
+        changes += reversed(found)
+        at = text.find("@", at + 1)
+    return changes
+
+
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(plain identifiers, all identifiers), each by kind, then start.
 

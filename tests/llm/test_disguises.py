@@ -1,0 +1,25 @@
+"""Disguises of a part of an identifier only."""
+
+import pytest
+
+from gridweave.llm import pii
+
+LOCAL_DOTS = [
+    ("write john dot doe at example dot com now", "write [EMAIL] now", 6),
+    ("john dot doe@example.com", "[EMAIL]", 0),
+    ("é a  punkt b.c PUNTO d@example dot com", "é [EMAIL]", 2),
+    ("x@a.com y dot z@b.com", "[EMAIL] [EMAIL]", 0),
+    ("dot doe@example.com", "dot [EMAIL]", 4),
+    ("polka dots doe@example.com", "polka dots [EMAIL]", 11),
+]
+
+
+@pytest.mark.parametrize(("text", "clean", "start"), LOCAL_DOTS)
+def test_spelled_dots_before_the_at_sign(text, clean, start):
+    assert pii.redacted(text) == clean
+    assert min(s for _, s, _ in pii.find_spans(text)[1]) == start
+
+
+def test_long_runs_before_at_signs():
+    text = "a dot " * 30_000 + "b@example.com" + "@" * 20_000 + " " * 50_000 + "c@d.com"
+    assert pii.redacted(text) == "[EMAIL]" + "@" * 20_000 + " " * 50_000 + "[EMAIL]"
