@@ -103,7 +103,8 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-# Number words in a row that stand for a number; one alone is a word of the language.
+# Number words in a row that stand for a number without digits or a plus sign next to
+# them; one alone is a word of the language.
 LEAST_DIGIT_WORDS = 3
 
 _ASCII_ONLY = re.compile(r"[\x00-\x7f]*\Z")
@@ -120,12 +121,9 @@ _SPACED_AT = re.compile(
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9-])[ ]+(dot|punkt|point|punto)[ ]+(?=[A-Za-z0-9-])", re.IGNORECASE)
 _DOT_BEFORE = re.compile(r"(?<=[ ])(dot|punkt|point|punto)\Z", re.IGNORECASE)
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_NUMBER_RUN = re.compile(
-    rf"(?<!\w)(?:{_NUMBER_WORD})(?:[ .()+-]*(?<!\w)(?:{_NUMBER_WORD}))"
-    rf"{{{LEAST_DIGIT_WORDS - 1},}}(?!\w)",
-    re.IGNORECASE,
-)
-_NUMBER_IN_RUN = re.compile(rf"(?<!\w)({_NUMBER_WORD})(?!\w)", re.IGNORECASE)
+_NUMBER_PART = re.compile(rf"(?<!\w)(?:({_NUMBER_WORD})|[0-9]+)(?!\w)", re.IGNORECASE)
+_NUMBER_GAP = " .()+-"
+_PLUS_WORD = re.compile(rf"\+[ (]*(?:{_NUMBER_WORD})(?!\w)", re.IGNORECASE)
 _NUMBER_BYTES = frozenset(
     form.encode().lower() for w in DIGIT_WORDS for form in (w, w.upper(), w.capitalize())
 )
@@ -188,21 +186,62 @@ def _lookalikes(text: str) -> list[tuple[int, int, str]]:
 
 
 def _has_number_run(text: str) -> bool:
-    words = text.encode().lower().translate(_TO_SPACES).split(b" ")
-    return b"\1" * LEAST_DIGIT_WORDS in bytes(map(_NUMBER_BYTES.__contains__, filter(None, words)))
+    words = list(filter(None, text.encode().lower().translate(_TO_SPACES).split(b" ")))
+    is_word = bytes(map(_NUMBER_BYTES.__contains__, words))
+    if b"\1" * LEAST_DIGIT_WORDS in is_word:
+        return True
+    at = is_word.find(1)
+    while at >= 0:
+        if words[at - 1 : at] and words[at - 1].isdigit() or words[at + 1 : at + 2] and words[at + 1].isdigit():
+            return True
+        at = is_word.find(1, at + 1)
+    return "+" in text and _PLUS_WORD.search(text) is not None
+
+
+def _number_runs(text: str) -> Iterator[list[re.Match]]:
+    """Runs of number words and groups of digits, with nothing but _NUMBER_GAP between."""
+    run: list[re.Match] = []
+    for part in _NUMBER_PART.finditer(text):
+        if run and text[run[-1].end() : part.start()].strip(_NUMBER_GAP):
+            yield run
+            run = []
+        run.append(part)
+    if run:
+        yield run
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
     """Number words of a run become digits, and what separates two of them goes, so that
-    the run reads as a number; brackets, dots and plus signs stay."""
+    the run reads as a number; brackets, dots and plus signs stay. Fewer words than
+    LEAST_DIGIT_WORDS do so next to digits, unless a sentence ends between, or a plus sign."""
     changes = []
-    for run in _NUMBER_RUN.finditer(text):
-        words = list(_NUMBER_IN_RUN.finditer(text, run.start(), run.end()))
-        for word, following in zip(words, [*words[1:], None], strict=True):
-            end = word.end()
-            if following and not text[end : following.start()].strip(" -"):
-                end = following.start()
-            changes.append((word.start(), end, DIGIT_WORDS[word[0].lower()]))
+    for run in _number_runs(text):
+        at = 0
+        while at < len(run):
+            if not run[at][1]:
+                at += 1
+                continue
+            end = at
+            while end < len(run) and run[end][1]:
+                end += 1
+            before = text[run[at - 1].end() : run[at].start()] if at else None
+            after = text[run[end - 1].end() : run[end].start()] if end < len(run) else None
+            if (
+                end - at >= LEAST_DIGIT_WORDS
+                or (before is not None and ". " not in before)
+                or (after is not None and ". " not in after)
+                or text[max(0, run[at].start() - 9) : run[at].start()].rstrip(" (").endswith("+")
+            ):
+                if before and len(before) > 1 and not before.strip(" -"):
+                    changes.append((run[at - 1].end(), run[at].start(), " "))
+                for word, following in zip(run[at:end], [*run[at + 1 : end], None], strict=True):
+                    stop = word.end()
+                    if following and not text[stop : following.start()].strip(" -"):
+                        stop = following.start()
+                    changes.append((word.start(), stop, DIGIT_WORDS[word[1].lower()]))
+                if after and len(after) > 1 and not after.strip(" -"):
+                    changes.append((run[end - 1].end(), run[end].start(), " "))
+            at = end
     return changes
 
 
@@ -214,7 +253,7 @@ def normalize(text: str) -> Normalized | None:
     """The text without disguises, or None if it has none.
 
     In turn: look-alike letters and digits become ASCII and invisible characters go;
-    runs of number words become digits, "plus" before a digit a plus sign; "at" and
+    runs of number words, or of digits and such words, become digits, "plus" before a digit a plus sign; "at" and
     "dot" become signs in brackets, or as words if what follows "at" is names with a
     spelled dot before the last; "dot" also between names before an at sign.
     """

@@ -23,3 +23,20 @@ def test_spelled_dots_before_the_at_sign(text, clean, start):
 def test_long_runs_before_at_signs():
     text = "a dot " * 30_000 + "b@example.com" + "@" * 20_000 + " " * 50_000 + "c@d.com"
     assert pii.redacted(text) == "[EMAIL]" + "@" * 20_000 + " " * 50_000 + "[EMAIL]"
+
+
+MIXED_NUMBERS = [
+    ("call +1 555 five five 5 1234 now", "call [PHONE] now"),
+    ("call plus one 555 five five 5 1234 now", "call [PHONE] now"),
+    ("call +one (555) 555 1234 now", "call [PHONE] now"),
+    ("card 4111 one 111 one 111 one 111, paid", "card [CARD], paid"),
+    ("card 4111  one  111 one - 111 one 111, paid", "card [CARD], paid"),
+    ("host 192.168.one.7 up", "host [IP] up"),
+    ("call +1 (017) 555-7713. One more", "call [PHONE]. One more"),
+    ("take 5 or one of two, not 7 one", "take 5 or one of two, not 7 one"),
+]
+
+
+@pytest.mark.parametrize(("text", "clean"), MIXED_NUMBERS)
+def test_numbers_of_digits_and_words(text, clean):
+    assert pii.redacted(text) == clean
