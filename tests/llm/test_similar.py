@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gridweave.llm import similar
+from gridweave.llm import similar, simhash
 from tests.llm.test_edges import WORDS
 
 
@@ -32,6 +32,18 @@ def components(docs):
     return root
 
 
+def both_sides():
+    """Pairs with 4 to 14 of 400 words changed, at similarities from 0.7 to 0.9."""
+    rng, docs = random.Random(5), []
+    for n in range(160):
+        words = words_of(rng, 400)
+        docs.append((2 * n, " ".join(words)))
+        for at in rng.sample(range(400), 4 + n % 11):
+            words[at] = "changed"
+        docs.append((2 * n + 1, " ".join(words)))
+    return docs
+
+
 def crowded():
     """A large group of copies with changes, texts that only share a line, short texts."""
     rng = random.Random(6)
@@ -53,6 +65,15 @@ def found(spark, docs):
     return {r["doc_id"]: r["component_id"] for r in similar.similar_components(df).collect()}
 
 
+def test_stage_keeps_what_brute_force_keeps(spark):
+    docs = both_sides()
+    near = [jaccard(shingle_set(docs[i][1]), shingle_set(docs[i + 1][1])) for i in range(0, 320, 2)]
+    assert sum(0.8 <= x < 0.85 for x in near) >= 10 and sum(0.75 <= x < 0.8 for x in near) >= 10
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept == {i for i, root in components(docs).items() if i == root}
+
+
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_crowded_groups(spark, monkeypatch, rounds):
     monkeypatch.setattr(similar.similar_links, "__defaults__", (rounds,))
