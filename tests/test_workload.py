@@ -7,7 +7,9 @@ import __spark_entry__ as contract
 import gridweave as gw
 from tests.conftest import SF_SMALL
 from workload import fixtures as fx
+from workload.catalog import QUERIES
 from workload.check import connect, difference
+from workload.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -25,14 +27,14 @@ def test_sql_belongs_to_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", contract.oracle_sql())
+@pytest.mark.parametrize("name", ORACLES)
 def test_same_as_sql(spark, connection, name):
     assert difference(spark, connection, name, SF_SMALL) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, name):
-    assert contract.queries()[name](spark, SF_SMALL).count() > 0
+    assert QUERIES[name](spark, SF_SMALL).count() > 0
 
 
 def plan(frame) -> str:
