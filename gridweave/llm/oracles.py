@@ -182,10 +182,117 @@ def _mixing() -> str:
     return head.replace("STRATA", str(mixing.STRATA)) + steps + every
 
 
+INFILL = """
+    WITH hashed AS (
+        SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+               list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('1:' || doc_id), i, 8))::BIGINT) AS h
+        FROM documents
+    ), cuts AS (
+        SELECT doc_id, text, n,
+               CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain'
+                    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+               least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b
+        FROM hashed
+    ), parts AS (
+        SELECT *, text[:a] AS prefix, text[a + 1 : b] AS middle, text[b + 1 :] AS suffix FROM cuts
+    )
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text
+                  WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts
+"""
+
+TOPK = """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    )
+    SELECT q.vec_id AS query_id,
+           (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.w, c.w) DESC, c.vec_id))::INT AS rank,
+           c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+    QUALIFY rank <= 20
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+def _crc32(text: str) -> str:
+    """The checksum bit by bit; the text is ASCII."""
+    step = "lambda c, x: xor(c >> 8, list_reduce(range(0, 8), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, x) & 255))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT), {step}, 4294967295), 4294967295)"
+
+
+MERKLE = f"""
+    WITH RECURSIVE leaves AS (
+        SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1)::BIGINT AS place,
+               (dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1)::BIGINT AS tree,
+               (count(*) OVER (PARTITION BY lang))::BIGINT AS n
+        FROM (
+            SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+                   CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0
+                        THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS claimed
+            FROM documents
+        )
+    ), nodes AS (
+        SELECT tree, 0 AS level, place, n, leaf AS h FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place))
+        FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2
+    ), subroots AS (
+        SELECT tree, h AS subroot FROM nodes WHERE n = 1
+    ), tops AS (
+        SELECT 0 AS level, tree AS place, count(*) OVER () AS n, subroot AS h FROM subroots
+        UNION ALL
+        SELECT level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place))
+        FROM tops WHERE n > 1 GROUP BY level, place // 2
+    ), forest AS (
+        SELECT tree, level, place, n, h FROM nodes
+        UNION ALL
+        SELECT -1, level, place, n, h FROM tops
+    ), walk AS (
+        SELECT tree AS own, place AS lo, tree, 0 AS level, place, n, claimed AS h, '' AS proof FROM leaves
+        UNION ALL
+        SELECT w.own, w.lo,
+               CASE WHEN w.n > 1 THEN w.tree ELSE -1 END,
+               CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END,
+               CASE WHEN w.n > 1 THEN w.place // 2 ELSE w.own END,
+               CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE (SELECT count(*) FROM subroots) END,
+               CASE WHEN w.n = 1 THEN w.h WHEN s.h IS NULL THEN sha256(w.h)
+                    WHEN s.place < w.place THEN sha256(s.h || w.h) ELSE sha256(w.h || s.h) END,
+               w.proof || coalesce(s.h, '')
+        FROM walk w LEFT JOIN forest s
+          ON w.n > 1 AND s.tree = w.tree AND s.level = w.level AND s.place = xor(w.place, 1)
+        WHERE w.n > 1 OR w.tree >= 0
+    ), ends AS (
+        SELECT own, lo, h AS folded_root, proof FROM walk WHERE tree = -1 AND n = 1
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM leaves JOIN subroots USING (tree)
+    JOIN ends ON own = leaves.tree AND lo = leaves.place
+    CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1)
+"""
+
 ORACLES = {
     "op1_rules": RULES,
     "op2_warc": WARC,
     "op5_secrets": _secrets(),
     "op6_mixing": _mixing(),
     "op7_vectors": VECTORS,
+    "op11_infill": INFILL,
+    "op12_topk": TOPK,
+    "op13_merkle": MERKLE,
 }

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridweave.llm import language, mixing, packing, pii, quality, rules, secret_scan, simhash, vectors, warc
+from gridweave.llm import (
+    infill,
+    language,
+    merkle,
+    mixing,
+    packing,
+    pii,
+    quality,
+    rules,
+    secret_scan,
+    simhash,
+    topk,
+    vectors,
+    warc,
+)
 from gridweave.llm.common import read_table
 from gridweave.llm.oracles import ORACLES  # noqa: F401  the queries' SQL goes with them
 
@@ -53,6 +67,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read_table(spark, sf_dir, "documents")).drop("n_spans")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.infill(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rules": op1_rules,
     "op2_warc": op2_warc,
@@ -64,4 +94,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_infill": op11_infill,
+    "op12_topk": op12_topk,
+    "op13_merkle": op13_merkle,
 }
