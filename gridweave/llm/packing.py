@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import public_tokenizers
@@ -21,56 +22,89 @@ from gridweave.session import materialize
 LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-# Words, and words without case and punctuation, whose ids a worker remembers. Longer
-# ones are not remembered.
-REMEMBERED = 50_000
-REMEMBERED_UNITS = 100_000
+# Words, and words without case and punctuation, whose ids a worker remembers in each of two
+# generations. Longer ones are not remembered.
+REMEMBERED = 100_000
+REMEMBERED_UNITS = 200_000
 REMEMBERED_BYTES = 40
 # Documents whose ids a task holds at a time.
 DOCS_AT_ONCE = 100
 # What may end a word: signs that the tokenizer takes apart from letters.
 SIGNS = b".,:;!?*#$%&|"
+# Letters that normalising leaves single letters. Others may come apart into a letter and a
+# mark, and the mark would join the signs that follow.
+LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
-class WordIds(dict):
-    """Ids of each word as little-endian 32-bit numbers.
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable, else one of those
+    from U+0100 on, in order. Such is the alphabet of tokenizers that work on bytes."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTES = _byte_characters()
+
+
+class Recent(dict):
+    """Values of the keys asked for lately, worked out when missing.
+
+    When `room` keys are held they become the older generation, and the one before is
+    dropped; a key found among the older ones comes back. So keys that are asked for often
+    are never worked out again, and no more than twice `room` are held.
+    """
+
+    def __init__(self, make: Callable[[bytes], bytes], room: int):
+        self.make, self.room = make, room
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(key) > REMEMBERED_BYTES:
+            return self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of words as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are
     those of its words, one after the other. It ignores case and takes letters apart from
-    signs, so a word of letters with signs at its end is two units, each looked up by
-    itself; other words go to the tokenizer as they are. Tables start anew when full.
+    signs, so a word of LETTERS with SIGNS at its end is two units, each looked up by
+    itself. A unit is what the tokenizer's model sees, but for the characters that stand
+    for its bytes, so it goes to the model; other words go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.units: dict[bytes, bytes] = {}
+        self.units = Recent(self._unit, REMEMBERED_UNITS)
+        self.words = Recent(self._word, REMEMBERED)
+
+    def __call__(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.split()))
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(word) > REMEMBERED_BYTES:
-            return self._encoded(word)
+    def _word(self, word: bytes) -> bytes:
         core = word.lower().rstrip(SIGNS)
-        if core.isalpha() or core.decode().isalpha():
-            ids = self._unit(core)
-            if len(core) < len(word):
-                ids += self._unit(word[len(core) :])
-        else:
-            ids = self._encoded(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
-        return ids
+        if not core.isalpha():
+            letters = core.decode()
+            if not LETTERS.fullmatch(letters):
+                return self._encoded(word)
+            core = letters.lower().encode()
+        signs = len(word) - len(word.rstrip(SIGNS))
+        return self.units[core] + self.units[word[-signs:]] if signs else self.units[core]
 
     def _unit(self, unit: bytes) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            if len(self.units) >= REMEMBERED_UNITS:
-                self.units.clear()
-            # lower-case ASCII letters need no normalising and no cutting
-            ids = _packed([t.id for t in self.model.tokenize(unit.decode())]) if unit.isalpha() else self._encoded(unit)
-            self.units[unit] = ids
-        return ids
+        seen = unit.decode() if unit.isalpha() else unit.decode("latin-1").translate(BYTES)
+        return _packed([t.id for t in self.model.tokenize(seen)])
 
     def _encoded(self, word: bytes) -> bytes:
         return _packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
@@ -117,7 +151,7 @@ def pieces(
         for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
             out = []
             for doc, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                ids = b"".join(map(table.__getitem__, (t or b"").split())) + end
+                ids = table(t or b"") + end
                 total, start = len(ids) // 4, 0
                 for n in cut(total, length):
                     piece = ids[4 * start : 4 * (start + n)]

@@ -472,7 +472,28 @@ def test_word_ids_are_the_tokenizers():
     table = packing.word_ids(public_tokenizers.path(packing.TOKENIZER))
     words = ["Hello,", "it's", "don't!", "É", "ÉCOLE...", "straße?!", "x1y2", "1.5", "...", "ﬁ", "Å", "Å", "İ", "<|endoftext|>", "foo<|endoftext|>bar", "漢字。", "a b", "Σς", "ΑΣ", "…", "a" * 500, "'s", "we'll.", "ab's", "|", "ß|", "ǅ"]
     for w in words * 2:
-        assert table[w.encode()] == packing._packed(table.tokenizer.encode(w, add_special_tokens=False).ids), w
+        assert table(w.encode()) == packing._packed(table.tokenizer.encode(w, add_special_tokens=False).ids), w
+
+
+@pytest.mark.parametrize("sign", [".", ":", "?!"])
+def test_letters_before_signs(sign):
+    """Every letter below U+20000, some of which normalising takes apart."""
+    import public_tokenizers
+
+    table = packing.word_ids(public_tokenizers.path(packing.TOKENIZER))
+    letters = [chr(c) for c in range(0x20000) if chr(c).isalpha()]
+    words = [x + sign for x in letters] + [f"a{x}{sign}" for x in letters[::7]]
+    want = table.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for w, e in zip(words, want, strict=True) if table(w.encode()) != packing._packed(e.ids)] == []
+
+
+def test_recent_keys_stay():
+    asked = []
+    table = packing.Recent(lambda k: asked.append(k) or k, 4)
+    for i in range(200):
+        assert table[b"often"] == b"often" and table[b"%d" % i] == b"%d" % i
+    assert asked.count(b"often") == 1 and len(table) <= 4 and len(table.older) <= 4
+    assert table[b"x" * 100] == table[b"x" * 100] and asked.count(b"x" * 100) == 2
 
 
 def test_personal_data(odd, none):
