@@ -25,9 +25,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    """One document of each group whose SimHash fingerprints, of four words, differ in at most four bits."""
     prepare(spark)
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, near=simhash.Near(words=4, distance=4))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridweave.llm.common import map_arrow, texts
 from gridweave.llm.components import connected_components
-from gridweave.llm.similar import similar_components
 from gridweave.session import materialize
 
 BITS = 64
@@ -26,57 +25,43 @@ PART = 4096
 SMALL_GROUP = 256
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42, parts: int = 1) -> np.ndarray:
-    """The SimHash of a text as `parts` unsigned 64-bit numbers.
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text as an unsigned 64-bit number.
 
     Features are the hashes of all shingles of `words` words, repeats included, of the
     text with A-Z in lower case; a shorter text is one shingle; no word, zero. A bit is
-    set if more than half of the hashes have it. Parts after the first use the hashes
-    scrambled again.
+    set if more than half of the hashes have it.
     """
     found = text.lower().split() if text else []
     if not found:
-        return np.zeros(parts, np.uint64)
+        return 0
     count = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[: count - 1])).tolist()
     stops = (ends[len(found) - count :] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((parts, BITS), np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, count, SHINGLES_AT_ONCE):
         some = slice(at, at + SHINGLES_AT_ONCE)
         hashes = np.array(
             [digest(joined[i:j], seed) for i, j in zip(starts[some], stops[some], strict=True)], "<u8"
         )
-        for part in range(parts):
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), 1, bitorder="little")
-            ones[part] += bits.sum(0, dtype=np.int64)
-            hashes = _scrambled(hashes)
-    return np.packbits(2 * ones > count, 1, bitorder="little").view("<u8")[:, 0]
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), 1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    """A one-to-one mix of 64-bit numbers, as splitmix64 ends with."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, parts: int = 1
-) -> DataFrame:
-    """(doc_id, fp) for every row; `fp` has `parts` signed longs of 64 bits each."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """(doc_id, fp) for every row; `fp` has the 64 bits as a signed long."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.stack([fingerprint(t, words, parts=parts) for t in texts(batch)]).view("<i8")
-        return pa.record_batch(
-            [batch.column(0), pa.array(values.tolist(), pa.list_(pa.int64()))], ["doc_id", "fp"]
-        )
+        values = np.array([fingerprint(t, words) for t in texts(batch)], "<u8").view("<i8")
+        return pa.record_batch([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     return map_arrow(
         docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")),
         rows,
-        "doc_id long, fp array<long>",
+        "doc_id long, fp long",
     )
 
 
@@ -103,23 +88,9 @@ def _signed(x: int) -> int:
 
 
 def block_keys(fp: Column, masks: list[int]) -> Column:
-    """An array of keys of a fingerprint of one part: for each mask, what lies under it."""
+    """An array of keys of a fingerprint: for each mask, what lies under it."""
     listed = F.array([F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks)])
-    return F.transform(listed, lambda x: F.xxhash64(x["i"], fp[0].bitwiseAND(x["m"])))
-
-
-def window_keys(fp: Column, parts: int, width: int, step: int) -> Column:
-    """An array of keys of a fingerprint: windows of `width` bits, up to 64, one every
-    `step` bits, going on at the beginning after the last bit."""
-
-    def window(at: Column) -> Column:
-        part, shift = F.floor(at / BITS).cast("int"), at % BITS
-        low = F.call_function("shiftrightunsigned", F.get(fp, part), shift)
-        high = F.call_function("shiftleft", F.get(fp, (part + 1) % parts), F.lit(BITS) - shift)
-        joined = F.when(shift == 0, low).otherwise(low.bitwiseOR(high))
-        return F.xxhash64(at, joined.bitwiseAND(F.lit(_signed((1 << width) - 1))))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(parts * BITS - 1), F.lit(step)), window)
+    return F.transform(listed, lambda x: F.xxhash64(x["i"], fp.bitwiseAND(x["m"])))
 
 
 def near_links(prints: DataFrame, keys: Column, distance: int, part: int = PART) -> DataFrame:
@@ -160,8 +131,7 @@ def _stars(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        got = (batch.column("key").to_numpy(), batch.column("node").to_numpy(), fp)
+        got = tuple(batch.column(c).to_numpy() for c in ("key", "node", "fp"))
         if held is not None:
             got = tuple(np.concatenate(x) for x in zip(held, got, strict=True))
         last = np.searchsorted(got[0], got[0][-1])  # the last group may go on
@@ -172,7 +142,7 @@ def _stars(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
 def _compared(key, node, fp, distance: int) -> Iterator[pa.RecordBatch]:
@@ -213,29 +183,19 @@ def _group_stars(node, fp, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Exact:
-    """Fingerprints of 64 bits that differ in at most `distance` bits, every pair of them:
-    by the pigeonhole rule such a pair shares the blocks under a mask."""
+class Near:
+    """Fingerprints of shingles of `words` words that differ in at most `distance` bits, every
+    pair of them: by the pigeonhole rule such a pair shares the blocks under a mask."""
 
     words: int = 4
     distance: int = 4
-    parts: int = 1
 
     def keys(self, fp: Column, count: int) -> Column:
         return block_keys(fp, block_masks(block_count(count, self.distance), self.distance))
 
 
-@dataclass(frozen=True)
-class Similar:
-    """Texts whose sets of shingles of `words` words have a Jaccard similarity of
-    `similarity` or more, every pair of them and no other."""
-
-    words: int = 5
-    similarity: float = 0.8
-
-
 def simhash_components(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact = Exact()
+    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Near = Near()
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`; `near` says what links.
 
@@ -245,7 +205,7 @@ def simhash_components(
     without an id takes no part in linking and has no component. Null and blank texts
     have fingerprint zero and link like any other. An empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, id, text, near.words, near.parts), "fingerprints")
+    prints = materialize(fingerprints(docs, id, text, near.words), "fingerprints")
     nodes = materialize(
         prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")),
         "distinct-fingerprints",
@@ -273,31 +233,31 @@ def _ties(prints: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def as_hex(fp: str) -> Column:
-    return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))), "")
+    return F.lower(F.lpad(F.hex(fp), BITS // 4, "0"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Exact | Similar = Similar()
+    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Near = Near()
 ) -> DataFrame:
     """The rows of `docs` whose document is the smallest of its component, all columns.
 
-    Of rows with the same id one stays. Rows without an id stay.
+    Of rows with the same id one stays. Rows without an id stay. Only the ids of documents
+    that go are joined to `docs`, as a column that bears no name of its own.
     """
-    if isinstance(near, Similar):
-        found = similar_components(docs, id, text, near.words, near.similarity)
-    else:
-        found = simhash_components(docs, id, text, near)
+    found = simhash_components(docs, id, text, near)
     ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.min("component_id").alias("component_id")
     )
     gone = materialize(
         ids.where((F.col("n") > 1) | (F.col("doc_id") != F.col("component_id"))), "near-duplicates"
     )
-    left = docs.join(
-        gone.select(F.col("doc_id").alias("_gone")), F.col(id).cast("long") == F.col("_gone"), "left_anti"
-    )
+    left = _held_against(docs, id, gone, "left_anti")
     again = gone.where(F.col("doc_id") == F.col("component_id"))
     if again.isEmpty():
         return left
-    first = docs.join(again.select(F.col("doc_id").alias("_again")), F.col(id).cast("long") == F.col("_again"), "left_semi")
-    return left.unionByName(first.dropDuplicates([id]))
+    return left.unionByName(_held_against(docs, id, again, "left_semi").dropDuplicates([id]))
+
+
+def _held_against(docs: DataFrame, id: str, others: DataFrame, how: str) -> DataFrame:
+    fresh = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of docs
+    return docs.join(others.select(F.col("doc_id").alias(fresh)), F.col(id).cast("long") == F.col(fresh), how)
