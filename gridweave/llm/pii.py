@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -20,7 +20,6 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -107,19 +106,40 @@ DIGIT_WORDS = {
 # them; one alone is a word of the language.
 LEAST_DIGIT_WORDS = 3
 
+# The last part of a domain whose dots are spelled without brackets. Codes of
+# countries that are words of the corpus' languages, such as "it" or "no", are not among them.
+TOP_DOMAINS = frozenset(
+    "com net org edu gov mil int info biz name pro io ai app dev cloud online site shop store blog tech "
+    "test example invalid local ac at au be br ca ch cl cn co cz de dk ee es eu fi fr gr hk hr hu ie il "
+    "jp kr lt lu lv mx nl nz pe pl pt ro ru se sg sk tr tw ua uk za".split()
+)
+
+
+def _compatible() -> dict[int, str]:
+    """Letters and digits in another font, width or circle, and the ASCII ones they stand for."""
+    out = {}
+    for c in range(0x250, 0x20000):
+        kind = unicodedata.decomposition(chr(c)).partition(" ")[0]
+        if kind in ("<font>", "<wide>", "<circle>"):
+            plain = unicodedata.normalize("NFKC", chr(c))
+            if len(plain) == 1 and plain.isascii() and (plain.isalpha() or kind != "<circle>"):
+                out[c] = plain
+    return out
+
+
+LOOKALIKES = _compatible() | HOMOGLYPHS
+
 _ASCII_ONLY = re.compile(r"[\x00-\x7f]*\Z")
-_LOOKALIKE = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + INVISIBLE + "！-～]|(?![0-9])\\d")
+_LOOKALIKE = re.compile("[" + "".join(map(chr, LOOKALIKES)) + INVISIBLE + "]|(?![0-9])\\d")
 _BRACKETS = {"[": "]", "(": ")", "{": "}", "<": ">"}
-_SIGNS = {"at": "@", "dot": ".", "punkt": ".", "point": ".", "punto": ".", "arroba": "@"}
+_SIGNS = {"at": "@", "dot": ".", "punkt": ".", "point": ".", "punto": ".", "arroba": "@", "arobase": "@"}
 _WORDS = "|".join(_SIGNS)
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*({_WORDS}|@|\.)\s*[\])}}>]\s*", re.IGNORECASE)
-_SPACED_AT = re.compile(
-    r"(?<=[A-Za-z0-9])[ ]+(at|arroba)[ ]+(?=[A-Za-z0-9-]+(?:(?:[ ]+(?:dot|punkt|point|punto)[ ]+|\.)"
-    r"[A-Za-z0-9-]+)*[ ]+(?:dot|punkt|point|punto)[ ]+[A-Za-z]{2})",
-    re.IGNORECASE,
-)
-_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9-])[ ]+(dot|punkt|point|punto)[ ]+(?=[A-Za-z0-9-])", re.IGNORECASE)
-_DOT_BEFORE = re.compile(r"(?<=[ ])(dot|punkt|point|punto)\Z", re.IGNORECASE)
+_BRACKETED = re.compile(rf"[\[({{<]\s*({_WORDS}|@|\.)\s*[\])}}>]\s*", re.IGNORECASE)
+_DOT = "(?:dot|punkt|point|punto)"
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]+(?:at|arroba|arobase)[ ]+(?=[A-Za-z0-9])", re.IGNORECASE)
+_SPACED_DOT = re.compile(rf"[ ]+{_DOT}[ ]+(?=[A-Za-z0-9-])", re.IGNORECASE)
+_NAME = re.compile(r"[A-Za-z0-9-]+")
+_DOT_BEFORE = re.compile(rf"(?<=[ ]){_DOT}\Z", re.IGNORECASE)
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _NUMBER_PART = re.compile(rf"(?<!\w)(?:({_NUMBER_WORD})|[0-9]+)(?!\w)", re.IGNORECASE)
 _NUMBER_GAP = " .()+-"
@@ -128,6 +148,9 @@ _NUMBER_BYTES = frozenset(
     form.encode().lower() for w in DIGIT_WORDS for form in (w, w.upper(), w.capitalize())
 )
 _TO_SPACES = bytes.maketrans(b".()+-", b"     ")
+_IP_PART = rf"(?:[0-9]{{1,3}}|(?:{_NUMBER_WORD})(?:[ -](?:{_NUMBER_WORD})){{0,2}})(?!\w)"
+_SPELLED_IP = re.compile(rf"(?<!\w){_IP_PART}(?:(?:[ ]{_DOT}[ ]|\.){_IP_PART}){{3}}", re.IGNORECASE)
+_IP_DOT = re.compile(rf"[ ]{_DOT}[ ]", re.IGNORECASE)
 _PLUS = re.compile(r"(?<!\w)plus[ ]+(?=\(?[0-9])", re.IGNORECASE)
 
 
@@ -137,6 +160,7 @@ class Normalized:
     def __init__(self, text: str):
         self.text = text
         self.pieces: list[tuple[int, int, int, int]] = []  # new start, new end, old start, old end
+        self.starts: list[int] = []  # the new starts alone
 
     def rewrite(self, changes: list[tuple[int, int, str]]) -> Normalized:
         """Replace ranges of this text, in order and not overlapping; map through."""
@@ -150,7 +174,7 @@ class Normalized:
             new, at = new + len(by), end
         out.append(self.text[at:])
         after = Normalized("".join(out))
-        after.pieces, after.before = pieces, self
+        after.pieces, after.starts, after.before = pieces, [p[0] for p in pieces], self
         return after
 
     def source(self, start: int, end: int) -> Span:
@@ -162,8 +186,7 @@ class Normalized:
     def _old(self, at: int, is_end: bool) -> int:
         """Where a place between characters was. Inside a replacement: its nearer edge
         outwards. A removed range belongs to neither neighbour."""
-        starts = [p[0] for p in self.pieces]
-        i = bisect_left(starts, at, key=lambda x: x) if is_end else bisect_left(starts, at + 1)
+        i = bisect_left(self.starts, at if is_end else at + 1)
         if not i:
             return at
         new_start, new_end, old_start, old_end = self.pieces[i - 1]
@@ -178,9 +201,8 @@ def _lookalikes(text: str) -> list[tuple[int, int, str]]:
         c = m[0]
         if c in INVISIBLE:
             by = ""
-        elif (by := c.translate(HOMOGLYPHS)) == c:
-            digit = unicodedata.decimal(c, None)
-            by = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
+        elif (by := c.translate(LOOKALIKES)) == c:
+            by = str(unicodedata.decimal(c))
         changes.append((m.start(), m.end(), by))
     return changes
 
@@ -246,30 +268,41 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
 
 
 def _signs(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), _SIGNS.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(text)]
+    """Signs in brackets, with the white space around. Works from each bracket backwards, as
+    a scan from every blank would be slow on long runs of blanks."""
+    changes, last = [], 0
+    for m in _BRACKETED.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1].isspace():
+            start -= 1
+        changes.append((start, m.end(), _SIGNS.get(m[1].lower(), m[1])))
+        last = m.end()
+    return changes
 
 
 def normalize(text: str) -> Normalized | None:
     """The text without disguises, or None if it has none.
 
     In turn: look-alike letters and digits become ASCII and invisible characters go;
-    runs of number words, or of digits and such words, become digits, "plus" before a digit a plus sign; "at" and
-    "dot" become signs in brackets, or as words if what follows "at" is names with a
-    spelled dot before the last; "dot" also between names before an at sign.
+    spelled dots between the four parts of an address of numbers become dots; runs of
+    number words, or of digits and such words, become digits, "plus" before a digit a plus
+    sign; "at" and "dot" become signs in brackets, or as words if what follows "at" is
+    names with a spelled dot, the last one of TOP_DOMAINS; "dot" also between names before
+    an at sign.
     """
     now = Normalized(text)
     if not _ASCII_ONLY.match(text):
         if changes := _lookalikes(text):
             now = now.rewrite(changes)
+    if _IP_DOT.search(now.text) and (changes := _ip_dots(now.text)):
+        now = now.rewrite(changes)
     if _has_number_run(now.text) and (changes := _numbers(now.text)):
         now = now.rewrite(changes)
     if "plus" in (low := now.text.lower()) and (changes := [(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)]):
         now = now.rewrite(changes)
     if any(b in low for b in _BRACKETS) and (changes := _signs(now.text)):
         now = now.rewrite(changes)
-    if (" at " in low or " arroba " in low) and (
-        changes := [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(now.text)]
-    ):
+    if (" at " in low or " arroba " in low or " arobase " in low) and (changes := _spaced_ats(now.text)):
         now = now.rewrite(changes)
     if "@" in now.text and (changes := _domain_dots(now.text)):
         now = now.rewrite(changes)
@@ -278,16 +311,45 @@ def normalize(text: str) -> Normalized | None:
     return now if hasattr(now, "before") else None
 
 
-_MIXED = re.compile(rf"@[A-Za-z0-9-]+(?:(?:[ ]+(?:dot|punkt|point|punto)[ ]+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+def _ip_dots(text: str) -> list[tuple[int, int, str]]:
+    return [
+        (m.start(), m.end(), ".")
+        for whole in _SPELLED_IP.finditer(text)
+        for m in _IP_DOT.finditer(text, whole.start(), whole.end())
+    ]
+
+
+def _spelled_dots(text: str, at: int) -> list[Span]:
+    """Spelled dots of the domain that begins at a place: those before its last name that is
+    a top domain. Names are parted by dots, plain or spelled."""
+    dots: list[Span] = []
+    sure = 0
+    name = _NAME.match(text, at)
+    while name:
+        if dots and name[0].lower() in TOP_DOMAINS:
+            sure = len(dots)
+        end = name.end()
+        if text[end : end + 1] == ".":
+            name = _NAME.match(text, end + 1)
+        elif dot := _SPACED_DOT.match(text, end):
+            dots.append(dot.span())
+            name = _NAME.match(text, dot.end())
+        else:
+            break
+    return dots[:sure]
+
+
+def _spaced_ats(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(text) if _spelled_dots(text, m.end())]
 
 
 def _domain_dots(text: str) -> list[tuple[int, int, str]]:
     """Spelled dots inside a domain, after an at sign."""
-    return [
-        (m.start(), m.end(), ".")
-        for domain in _MIXED.finditer(text)
-        for m in _SPACED_DOT.finditer(text, domain.start(), domain.end())
-    ]
+    changes, at = [], text.find("@")
+    while at >= 0:
+        changes += [(*dot, ".") for dot in _spelled_dots(text, at + 1)]
+        at = text.find("@", at + 1)
+    return changes
 
 
 def _local_dots(text: str) -> list[tuple[int, int, str]]:
@@ -328,10 +390,19 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
     if clear is None:
         return base, base
     every = list(base)
+    starts = {kind: [s for k, s, _ in base if k == kind] for kind in KINDS}
+    ends = {kind: [e for k, _, e in base if k == kind] for kind in KINDS}
+    last: dict[str, Span] = {}
     for kind, start, end in base_spans(clear.text):
         start, end = clear.source(start, end)
-        if start < end and not any(k == kind and s <= start and end <= e for k, s, e in every):
+        # spans of a kind come in order, plain ones and added ones alike, so that only the
+        # last to begin before this one can cover it
+        at = bisect_right(starts[kind], start)
+        plain = at > 0 and end <= ends[kind][at - 1]
+        added = kind in last and last[kind][0] <= start and end <= last[kind][1]
+        if start < end and not plain and not added:
             every.append((kind, start, end))
+            last[kind] = (start, end)
     every.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, every
 
