@@ -103,15 +103,19 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """What a gzip file holds, whether it is one stream or many members, in bounded parts."""
-    inflate = zlib.decompressobj(GZIP)
+    """What a gzip file holds, whether it is one stream or many members, in bounded parts.
+    A file that ends within a stream is an error, wherever its records end."""
+    inflate, begun = zlib.decompressobj(GZIP), False
     while chunk := source.read(CHUNK):
         while chunk:
+            begun = True
             yield inflate.decompress(chunk, CHUNK)
             chunk = inflate.unconsumed_tail
             if inflate.eof:
-                chunk, inflate = inflate.unused_data, zlib.decompressobj(GZIP)
+                chunk, inflate, begun = inflate.unused_data, zlib.decompressobj(GZIP), False
     yield inflate.flush()
+    if begun and not inflate.eof:
+        raise ValueError("the archive is cut off: its gzip stream has no end")
 
 
 def deflated(raw: bytes) -> bytes:
@@ -190,15 +194,17 @@ def normalize_archives(archives: DataFrame, folder: str) -> DataFrame:
 
     The one stream of a file is inflated once, from beginning to end; nothing but the
     record at hand is held. Beside `x.warc.gz` the index `x.idx` has a line `offset length
-    type id` for each record. Returns (path, index, records).
+    type id` for each record. Returns (path, index, records). Where `archives` tells how many
+    `records` a file has, another number is an error, as is a file that is cut off.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                yield _normalize(path, folder)
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                yield _normalize(path, folder, records)
 
-    spread = archives.select("path").repartition(_parts(archives), "path")
+    records = F.col("records") if "records" in archives.columns else F.lit(None)
+    spread = archives.select("path", records.cast("long").alias("records")).repartition(_parts(archives), "path")
     return materialize(spread.mapInArrow(over, "path string, index string, records long"), "normalized-archives")
 
 
@@ -207,7 +213,7 @@ def _parts(archives: DataFrame) -> int:
     return max(2 * archives.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
 
 
-def _normalize(path: str, folder: str) -> pa.RecordBatch:
+def _normalize(path: str, folder: str, records: int | None = None) -> pa.RecordBatch:
     files, source = fs.FileSystem.from_uri(path)
     target, root = fs.FileSystem.from_uri(folder)
     target.create_dir(root, recursive=True)
@@ -222,6 +228,8 @@ def _normalize(path: str, folder: str) -> pa.RecordBatch:
             out.write(member)
             index.write(f"{at} {len(member)} {headers['WARC-Type']} {headers['WARC-Record-ID']}\n".encode())
             at, count = at + len(member), count + 1
+    if records is not None and count != records:
+        raise ValueError(f"{path} holds {count} records, not the {records} that were written")
     return pa.record_batch([[f"{folder}/{name}.warc.gz"], [f"{folder}/{name}.idx"], [count]], ["path", "index", "records"])
 
 

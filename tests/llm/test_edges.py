@@ -153,6 +153,29 @@ def test_warc_broken_archive():
         list(warc.split_records(iter([raw, raw[:-1]])))
 
 
+def test_warc_cut_at_a_record(tmp_path):
+    """A stream cut where its first record ends, and one that ends well but lacks a record."""
+    import io
+    import zlib
+
+    one, two = (warc.page_record(i, "u", b"abc" * 100, None, True).to_bytes() for i in (1, 2))
+    deflate = zlib.compressobj(6, zlib.DEFLATED, warc.GZIP)
+    first = deflate.compress(one) + deflate.flush(zlib.Z_SYNC_FLUSH)
+    whole = first + deflate.compress(two) + deflate.flush()
+    assert list(warc.split_records(warc.inflated(io.BytesIO(whole)))) == [one, two]
+    members = warc.deflated(one) + warc.deflated(two)
+    assert list(warc.split_records(warc.inflated(io.BytesIO(members)))) == [one, two]
+    assert list(warc.split_records(warc.inflated(io.BytesIO(b"")))) == []
+    for cut in (first, whole[:-1], members[:-3], first[:20]):
+        with pytest.raises(ValueError):
+            list(warc.split_records(warc.inflated(io.BytesIO(cut))))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.deflated(one))
+    assert warc._normalize(f"file://{path}", f"file://{tmp_path}/m", 1).num_rows == 1
+    with pytest.raises(ValueError, match="1 records, not the 2"):
+        warc._normalize(f"file://{path}", f"file://{tmp_path}/m", 2)
+
+
 def test_quality(spark, odd, none):
     labels = spark.createDataFrame(
         [(1, 1, 0, "x"), (2, 1, 0, "x"), (3, 0, 0, "x"), (6, 1, 1, "x"), (7, 0, 0, "x"), (8, 0, None, "x"), (8, 1, 0, "x"), (9, None, 0, "x"), (None, 1, 0, "x"), (99, 1, 0, "x"), (11, 1, 0, "x")],
