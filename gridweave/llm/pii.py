@@ -116,21 +116,25 @@ TOP_DOMAINS = frozenset(
 
 
 def _compatible() -> dict[int, str]:
-    """Letters and digits in another font, width or circle, and the ASCII ones they stand for."""
+    """Digits of other scripts, and letters and digits in another font, width or circle, with
+    the ASCII ones they stand for."""
     out = {}
-    for c in range(0x250, 0x20000):
-        kind = unicodedata.decomposition(chr(c)).partition(" ")[0]
-        if kind in ("<font>", "<wide>", "<circle>"):
-            plain = unicodedata.normalize("NFKC", chr(c))
+    for c in map(chr, range(0x250, 0x20000)):
+        kind = unicodedata.decomposition(c).partition(" ")[0]
+        if (digit := unicodedata.decimal(c, None)) is not None:
+            out[ord(c)] = str(digit)
+        elif kind in ("<font>", "<wide>", "<circle>"):
+            plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and plain.isascii() and (plain.isalpha() or kind != "<circle>"):
-                out[c] = plain
+                out[ord(c)] = plain
     return out
 
 
-LOOKALIKES = _compatible() | HOMOGLYPHS
+LOOKALIKES = _compatible() | {c: chr(by) for c, by in HOMOGLYPHS.items()} | dict.fromkeys(map(ord, INVISIBLE), "")
 
 _ASCII_ONLY = re.compile(r"[\x00-\x7f]*\Z")
-_LOOKALIKE = re.compile("[" + "".join(map(chr, LOOKALIKES)) + INVISIBLE + "]|(?![0-9])\\d")
+# Those beyond U+FFFF as one range, as a class of many such characters is gone through one by one.
+_LOOKALIKE = re.compile("[" + "".join(chr(c) for c in LOOKALIKES if c < 0x10000) + "\U00010000-\U0001ffff]")
 _BRACKETS = {"[": "]", "(": ")", "{": "}", "<": ">"}
 _SIGNS = {"at": "@", "dot": ".", "punkt": ".", "point": ".", "punto": ".", "arroba": "@", "arobase": "@"}
 _WORDS = "|".join(_SIGNS)
@@ -150,7 +154,10 @@ _NUMBER_BYTES = frozenset(
 _TO_SPACES = bytes.maketrans(b".()+-", b"     ")
 _IP_PART = rf"(?:[0-9]{{1,3}}|(?:{_NUMBER_WORD})(?:[ -](?:{_NUMBER_WORD})){{0,2}})(?!\w)"
 _SPELLED_IP = re.compile(rf"(?<!\w){_IP_PART}(?:(?:[ ]{_DOT}[ ]|\.){_IP_PART}){{3}}", re.IGNORECASE)
-_IP_DOT = re.compile(rf"[ ]{_DOT}[ ]", re.IGNORECASE)
+_IP_DOT = re.compile(rf"[ ]{_DOT}[ ](?=(?:[0-9]|{_NUMBER_WORD}))", re.IGNORECASE)
+_SPELLED_DOTS = (" dot ", " punkt ", " point ", " punto ")
+# Characters of a spelled address of numbers, at most.
+_IP_LENGTH = 160
 _PLUS = re.compile(r"(?<!\w)plus[ ]+(?=\(?[0-9])", re.IGNORECASE)
 
 
@@ -196,15 +203,9 @@ class Normalized:
 
 
 def _lookalikes(text: str) -> list[tuple[int, int, str]]:
-    changes = []
-    for m in _LOOKALIKE.finditer(text):
-        c = m[0]
-        if c in INVISIBLE:
-            by = ""
-        elif (by := c.translate(LOOKALIKES)) == c:
-            by = str(unicodedata.decimal(c))
-        changes.append((m.start(), m.end(), by))
-    return changes
+    return [
+        (m.start(), m.end(), LOOKALIKES[ord(m[0])]) for m in _LOOKALIKE.finditer(text) if ord(m[0]) in LOOKALIKES
+    ]
 
 
 def _has_number_run(text: str) -> bool:
@@ -294,7 +295,8 @@ def normalize(text: str) -> Normalized | None:
     if not _ASCII_ONLY.match(text):
         if changes := _lookalikes(text):
             now = now.rewrite(changes)
-    if _IP_DOT.search(now.text) and (changes := _ip_dots(now.text)):
+    low = now.text.lower()
+    if any(dot in low for dot in _SPELLED_DOTS) and (changes := _ip_dots(now.text)):
         now = now.rewrite(changes)
     if _has_number_run(now.text) and (changes := _numbers(now.text)):
         now = now.rewrite(changes)
@@ -312,11 +314,16 @@ def normalize(text: str) -> Normalized | None:
 
 
 def _ip_dots(text: str) -> list[tuple[int, int, str]]:
-    return [
-        (m.start(), m.end(), ".")
-        for whole in _SPELLED_IP.finditer(text)
-        for m in _IP_DOT.finditer(text, whole.start(), whole.end())
-    ]
+    """Spelled dots of addresses of numbers. Looks around spelled dots before a number only."""
+    changes, last = [], 0
+    for dot in _IP_DOT.finditer(text):
+        if dot.start() < last:
+            continue
+        whole = _SPELLED_IP.search(text, max(last, dot.start() - _IP_LENGTH), dot.end() + _IP_LENGTH)
+        if whole:
+            last = whole.end()
+            changes += [(m.start(), m.end(), ".") for m in _IP_DOT.finditer(text, whole.start(), last)]
+    return changes
 
 
 def _spelled_dots(text: str, at: int) -> list[Span]:
