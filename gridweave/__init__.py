@@ -10,6 +10,7 @@ from gridweave.operators.attention import (
     relational_attention,
 )
 from gridweave.operators.contrast import contrastive_loss, mean_loss, retrieval_top1
+from gridweave.operators.cooccurrence import cooccurrences, count_vectors, factorize, positive_pmi
 from gridweave.operators.masking import Masking, mask_nodes, masked_relations, relations_touching
 from gridweave.operators.numbering import (
     assign_gid,
@@ -23,12 +24,20 @@ from gridweave.operators.relations import (
     relation_channels,
     relation_multiplicity,
 )
+from gridweave.operators.sampling import (
+    alias_table,
+    kept_words,
+    negative_samples,
+    negative_weights,
+    skipgram_pairs,
+)
 from gridweave.operators.subgraph import (
     distinct_edges,
     edge_positions,
     graph_batch,
     induced_subgraph,
     search_graph,
+    search_graph_by_id,
 )
 from gridweave.operators.tables import (
     filter_table_size,
@@ -42,6 +51,7 @@ from gridweave.operators.vocabulary import (
     build_dictionary,
     dictionary_size,
     number_words,
+    sentence_count,
     skipgram_sentences,
     token_sequences,
     tokens_to_ids,
@@ -70,10 +80,13 @@ from gridweave.sources.stores import (
     read_graph,
     read_graph_count,
     read_id_only_graph,
+    read_vectors,
     read_word_vectors,
     write_corpus,
     write_dictionary,
     write_graph,
     write_graph_count,
+    write_id_only_graph,
+    write_vectors,
     write_word_vectors,
 )

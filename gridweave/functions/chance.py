@@ -20,5 +20,12 @@ def coin(rate: float, seed: str, *key: Column) -> Column:
     return F.substring(digest, 1, 8) < F.lit(f"{math.ceil(rate * 2**32):08x}")
 
 
+def draw(seed: str, *key: Column, digits: int = 8) -> Column:
+    """A whole number from 0 to less than 16 ** digits: the first hex digits of an md5
+    digest, at most 15 of them."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *key).cast("binary"))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+
+
 def shuffle_key(seed: str, key: Column) -> Column:
     return F.md5(F.concat_ws("-", key, F.lit(seed)).cast("binary"))

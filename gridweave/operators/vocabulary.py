@@ -97,3 +97,8 @@ def skipgram_sentences(corpus: DataFrame, keys: list[str] = []) -> DataFrame:
         sentences.select(*keys, F.col("pos").alias("sentence"), tokenize(F.col("col")).alias("words"))
         .where(F.size("words") > 1)
     )
+
+
+def sentence_count(sentences: DataFrame) -> DataFrame:
+    """The number of skip-gram sentences, as the one-row column `num_sentences`."""
+    return sentences.agg(F.count("*").alias("num_sentences"))

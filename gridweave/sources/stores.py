@@ -50,7 +50,8 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 def read_id_only_graph(spark: SparkSession, path: str) -> Graph:
     """A store whose nodes carry (id, type, text) and whose edges carry (src, dst, type).
 
-    `node_positions` and `edge_positions` add what the other operators need.
+    `search_graph_by_id` finds graphs in it; `node_positions` and `edge_positions` add what
+    the other operators need.
     """
     nodes = spark.read.schema("id string, type string, text string").parquet(
         f"{path}/node.parquet"
@@ -66,6 +67,18 @@ def read_id_only_graph(spark: SparkSession, path: str) -> Graph:
     )
 
 
+def write_id_only_graph(graph: Graph, path: str) -> None:
+    """The store without numbers, (id, type, text) and (src, dst, type), sorted by id within
+    its files, so that a search by prefix skips row groups."""
+    for rows, name, keys in [
+        (graph.nodes.select("id", "type", "text"), "node", ["id"]),
+        (graph.edges.select("src", "dst", "type"), "edge", ["src", "dst"]),
+    ]:
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(
+            f"{path}/{name}.parquet"
+        )
+
+
 def write_graph_count(count: DataFrame, path: str) -> None:
     """`count` has one row with the column `num`."""
     line = count.select(F.col("num").cast("string").alias("value"))
@@ -111,6 +124,15 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Any word vectors, (word_id, word, vector), as a table; `count_vectors` gives such."""
+    vectors.select("word_id", "word", "vector").write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("word_id long, word string, vector array<double>").parquet(path)
+
+
 def write_word_vectors(model: Word2VecModel, path: str) -> None:
     """The model itself, and its vectors as a table (word, vector)."""
     model.write().overwrite().save(f"{path}/model")

@@ -101,6 +101,12 @@ def subgraph_batch(spark, sf):
     return _graph_rows(*gw.search_graph(*fx.order_graph(spark, sf), gid=100, batch=7))
 
 
+@query
+def subgraph_by_id(spark, sf):
+    """The same graphs of a store whose rows carry ids alone."""
+    return _graph_rows(*gw.search_graph_by_id(*fx.id_only_graph(spark, sf), gid=100, batch=7))
+
+
 @query
 def induced_subgraph(spark, sf):
     nodes, edges = fx.order_graph(spark, sf)
@@ -170,6 +176,12 @@ def sentence_split(spark, sf):
     )
 
 
+@query
+def sentence_count(spark, sf):
+    parts = fx.documents(spark, sf).withColumn("text", F.replace("text", F.lit("\n"), F.lit("[SEP]")))
+    return gw.sentence_count(gw.skipgram_sentences(parts))
+
+
 @query
 def word_counts(spark, sf):
     return gw.word_counts(fx.documents(spark, sf))
@@ -262,6 +274,68 @@ def epoch_order(spark, sf):
     return gw.epoch_order(fx.order_tables(spark, sf), "epoch-1")
 
 
+# --- skip-gram training and vectors from counts --------------------------------
+
+
+@query
+def skipgram_pairs(spark, sf):
+    pairs = gw.skipgram_pairs(
+        fx.documents(spark, sf), ["doc_id"], gw.tokenize(F.col("text")), fx.document_dictionary(spark, sf)
+    )
+    return pairs.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pos", "step", "center", "context")))
+
+
+def _alias_table(spark, sf):
+    return gw.alias_table(gw.negative_weights(fx.document_dictionary(spark, sf)))
+
+
+@query
+def alias_table(spark, sf):
+    return _alias_table(spark, sf)
+
+
+@query
+def negative_samples(spark, sf):
+    """Five words drawn for each word that subsampling keeps."""
+    words = gw.kept_words(
+        fx.documents(spark, sf), ["doc_id"], gw.tokenize(F.col("text")), fx.document_dictionary(spark, sf), 1e-3, "pairs"
+    )
+    table = gw.materialize(_alias_table(spark, sf), "alias-table")
+    drawn = gw.negative_samples(words, ["doc_id", "pos"], "word_id", table)
+    return drawn.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pos", "center", "draw", "negative")))
+
+
+def _ppmi(spark, sf):
+    sequences = gw.tokens_to_ids(
+        fx.documents(spark, sf), ["doc_id"], gw.tokenize(F.col("text")), fx.document_dictionary(spark, sf)
+    )
+    return gw.positive_pmi(gw.cooccurrences(sequences, window=2))
+
+
+@query
+def cooccurrence_ppmi(spark, sf):
+    found = _ppmi(spark, sf)
+    return found.select(
+        F.col("word_id").cast("long").alias("word_id"), F.col("context_id").cast("long").alias("context_id"),
+        "n", rounded(F.col("value")).alias("value"),
+    )
+
+
+@query
+def ppmi_vectors(spark, sf):
+    """Word vectors of the documents by factorising their positive PMI."""
+    return gw.count_vectors(fx.document_dictionary(spark, sf), _ppmi(spark, sf), size=50, rounds=4)
+
+
+@query
+def vectors_round_trip(spark, sf):
+    path = scratch_path(spark, "vectors")
+    given = fx.vectors(spark, sf)
+    words = fx.document_dictionary(spark, sf).select(F.col("word_id").cast("long").alias("word_id"), "word")
+    gw.write_vectors(given.join(words, "word_id"), path)
+    return gw.read_vectors(spark, path).select("word_id", "word", *spread("vector", 4))
+
+
 # --- vectors, attention, objective ------------------------------------------
 
 

@@ -141,6 +141,14 @@ def order_graph(spark: SparkSession, sf: str) -> gw.Graph:
     return gw.read_graph(spark, path)
 
 
+@once
+def id_only_graph(spark: SparkSession, sf: str) -> gw.Graph:
+    """The order graph read back from a store without numbers."""
+    path = scratch_path(spark, "id-only-graph")
+    gw.write_id_only_graph(order_graph(spark, sf), path)
+    return gw.read_id_only_graph(spark, path)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return gw.at_least_parallel(read(spark, sf, "documents").select("doc_id", "text"))
 

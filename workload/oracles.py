@@ -158,6 +158,69 @@ _TEXTS = "texts AS (SELECT DISTINCT text FROM nodes)"
 _GRAPH_DICTIONARY = _counts("nodes") + "," + _DICTIONARY
 
 
+# --- skip-gram training -----------------------------------------------------
+
+
+def _draw(seed: str, key: str, digits: int = 8) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, {digits}))::BIGINT"
+
+
+_KEPT = f"""
+ordinary AS (SELECT *, sum(cnt) OVER () AS total FROM dictionary WHERE word_id > 3),
+keeps AS (
+  SELECT word, word_id,
+    floor(least(1.0::DOUBLE, sqrt(0.001::DOUBLE * total::DOUBLE / cnt::DOUBLE)) * 4294967296::DOUBLE)::BIGINT AS keep
+  FROM ordinary),
+spoken AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM spoken),
+kept AS (
+  SELECT doc_id, pos, word_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place
+  FROM placed JOIN keeps USING (word) WHERE {_draw('pairs/keep', 'doc_id, pos')} < keep)
+"""
+
+_ALIAS = """
+weights AS (
+  SELECT word_id, floor(1000 * q * q * q + 0.5)::HUGEINT AS weight
+  FROM (SELECT word_id, sqrt(sqrt(cnt::DOUBLE)) AS q FROM dictionary WHERE word_id > 3)),
+slots AS (
+  SELECT word_id, row_number() OVER (ORDER BY word_id) - 1 AS slot, sum(weight) OVER () AS total,
+    weight * count(*) OVER () - sum(weight) OVER () AS excess
+  FROM weights),
+light AS (
+  SELECT *, sum(-excess) OVER (ORDER BY word_id) AS until, sum(-excess) OVER (ORDER BY word_id) + excess AS start
+  FROM slots WHERE excess < 0),
+heavy AS (
+  SELECT *, sum(excess) OVER (ORDER BY word_id) AS until, sum(excess) OVER (ORDER BY word_id) - excess AS start,
+    lead(word_id) OVER (ORDER BY word_id) AS following
+  FROM slots WHERE excess > 0),
+owns AS (
+  SELECT l.slot, l.word_id, l.total + l.excess AS own, h.word_id AS alias, l.total
+  FROM light l JOIN heavy h ON h.start <= l.start AND l.start < h.until
+  UNION ALL
+  SELECT h.slot, h.word_id, h.total - coalesce(l.until - h.until, 0),
+    CASE WHEN l.slot IS NULL THEN h.word_id ELSE h.following END, h.total
+  FROM heavy h LEFT JOIN light l ON l.start < h.until AND h.until < l.until
+  UNION ALL
+  SELECT slot, word_id, total, word_id, total FROM slots WHERE excess = 0),
+alias_table AS (
+  SELECT slot, word_id, (own::HUGEINT * 4294967296::HUGEINT // total::HUGEINT)::BIGINT AS threshold, alias FROM owns)
+"""
+
+_PPMI = f"""
+seen AS (
+  SELECT doc_id, place, word_id FROM (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place
+    FROM (SELECT doc_id, {_words('text')} AS w FROM documents))
+  JOIN dictionary USING (word) WHERE word_id > 3),
+cooccurring AS (
+  SELECT a.word_id, b.word_id AS context_id, count(*) AS n
+  FROM seen a JOIN seen b ON a.doc_id = b.doc_id AND b.place - a.place IN (-2, -1, 1, 2)
+  GROUP BY a.word_id, b.word_id),
+marginals AS (SELECT word_id, sum(n) AS n_word FROM cooccurring GROUP BY word_id),
+total AS (SELECT sum(n) AS total FROM cooccurring)
+"""
+
+
 def _joined(list_: str, sep: str = " ") -> str:
     return f"array_to_string({list_}, '{sep}')"
 
@@ -350,6 +413,7 @@ ORACLES = {
     "parse_node_id": with_(_TABLES, _NODES) + "SELECT id, gid, row, col FROM nodes",
     "subgraph_single": _subgraph("id LIKE '7-%'"),
     "subgraph_batch": _subgraph(" OR ".join(f"id LIKE '{g}-%'" for g in range(100, 107))),
+    "subgraph_by_id": _subgraph(" OR ".join(f"id LIKE '{g}-%'" for g in range(100, 107))),
     "induced_subgraph": _subgraph("type IN ('H', 'Cell', 'VE')"),
     "node_positions": with_(_TABLES, _NODES)
     + """SELECT gid, id, row_number() OVER (PARTITION BY gid ORDER BY row, col) - 1 AS pos
@@ -372,6 +436,40 @@ ORACLES = {
                     FROM (SELECT doc_id, string_split(replace(text, chr(10), '[SEP]'), '[SEP]') AS parts
                           FROM documents)))
         WHERE len(w) > 1""",
+    "sentence_count": f"""
+        SELECT count(*) AS num_sentences
+        FROM (SELECT {_words('part')} AS w
+              FROM (SELECT unnest(string_split(replace(text, chr(10), '[SEP]'), '[SEP]')) AS part FROM documents))
+        WHERE len(w) > 1""",
+    "skipgram_pairs": with_(_DOC_WORDS, _DICTIONARY, _KEPT)
+    + f"""SELECT a.doc_id, a.pos, b.place - a.place AS step, a.word_id AS center, b.word_id AS context
+          FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.place <> b.place
+            AND abs(b.place - a.place) <= {_draw('pairs/width', 'a.doc_id, a.pos')} % 5 + 1""",
+    "alias_table": with_(_DOC_WORDS, _DICTIONARY, _ALIAS)
+    + "SELECT slot, word_id, threshold, alias FROM alias_table",
+    "negative_samples": with_(
+        _DOC_WORDS,
+        _DICTIONARY,
+        _KEPT,
+        _ALIAS.replace("alias_table AS (", "alias_table AS MATERIALIZED ("),
+        f"""drawn AS MATERIALIZED (
+             SELECT doc_id, pos, word_id AS center, draw,
+               {_draw('negatives/slot', 'doc_id, pos, draw', 15)} % n AS slot,
+               {_draw('negatives/side', 'doc_id, pos, draw')} AS side
+             FROM kept, range(0, 5) d(draw), (SELECT count(*) AS n FROM weights))""",
+    )
+    + """SELECT doc_id, pos, center, draw, CASE WHEN side < threshold THEN word_id ELSE alias END AS negative
+         FROM drawn JOIN alias_table USING (slot)
+         WHERE CASE WHEN side < threshold THEN word_id ELSE alias END <> center""",
+    "cooccurrence_ppmi": with_(_DOC_WORDS, _DICTIONARY, _PPMI)
+    + f"""SELECT c.word_id, c.context_id, n,
+            {_rounded('ln(n::DOUBLE * total::DOUBLE / (a.n_word::DOUBLE * b.n_word::DOUBLE))')} AS value
+          FROM cooccurring c JOIN marginals a ON a.word_id = c.word_id
+          JOIN marginals b ON b.word_id = c.context_id, total
+          WHERE n::HUGEINT * total::HUGEINT > a.n_word::HUGEINT * b.n_word::HUGEINT""",
+    "vectors_round_trip": with_(_DOC_WORDS, _DICTIONARY)
+    + f"""SELECT word_id, word, {_spread('e', 4)}
+          FROM dictionary JOIN (SELECT vec_id AS word_id, embedding::DOUBLE[] AS e FROM embeddings) USING (word_id)""",
     "word_counts": with_(_DOC_WORDS) + "SELECT word, cnt FROM counts",
     "dictionary_size": with_(_DOC_WORDS) + "SELECT count(*) AS num_words FROM counts",
     "dictionary": with_(_DOC_WORDS, _DICTIONARY) + "SELECT word, cnt, word_id FROM dictionary",
