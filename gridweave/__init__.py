@@ -19,6 +19,12 @@ from gridweave.operators.numbering import (
     node_positions,
     number_in_input_order,
 )
+from gridweave.operators.permutation import (
+    Permutation,
+    epoch_permutation,
+    graphs_at_steps,
+    steps_of,
+)
 from gridweave.operators.relations import (
     edge_relations,
     relation_channels,

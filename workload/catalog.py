@@ -274,6 +274,13 @@ def epoch_order(spark, sf):
     return gw.epoch_order(fx.order_tables(spark, sf), "epoch-1")
 
 
+@query
+def epoch_permutation(spark, sf):
+    """The step of each table in an epoch, worked out from its number alone."""
+    tables = fx.order_tables(spark, sf).select("gid")
+    return gw.steps_of(tables, tables.count(), "epoch-1")
+
+
 # --- skip-gram training and vectors from counts --------------------------------
 
 

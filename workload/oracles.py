@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridweave.operators.permutation import FACTORS, Permutation
 from gridweave.schemas import NODE_TYPES, RELATIONS, SEQUENCE_LENGTH
 from workload.fixtures import COLUMNS, FEATURE_SIZE, HEAD_SIZE, MASKING
 
@@ -206,6 +207,26 @@ alias_table AS (
   SELECT slot, word_id, (own::HUGEINT * 4294967296::HUGEINT // total::HUGEINT)::BIGINT AS threshold, alias FROM owns)
 """
 
+def _network(x: str) -> str:
+    """All rounds of the network over the number `x` with halves of `half` bits."""
+    keys = ", ".join(f"{k}::BIGINT" for k in Permutation(1, "epoch-1").keys())
+    mixed = (
+        f"list_transform([((x & ((1::BIGINT << half) - 1)) * {FACTORS[0]} + k) % 4294967296], lambda a: "
+        f"list_transform([(xor(a, a >> 15)::HUGEINT * {FACTORS[1]} % 4294967296)::BIGINT], lambda b: "
+        "xor(b, b >> 13) % (1::BIGINT << half))[1])[1]"
+    )
+    step = f"lambda x, k: ((x & ((1::BIGINT << half) - 1)) << half) | xor(x >> half, {mixed})"
+    return f"list_reduce([{keys}], {step}, {x}::BIGINT)"
+
+
+_PERMUTATION = f"""
+walk AS (
+  SELECT gid AS step, {_network("gid")} AS x, s.n, half
+  FROM t, (SELECT count(*) AS n, greatest(1, (length(bin(count(*) - 1)) + 1) // 2)::INT AS half FROM t) s
+  UNION ALL
+  SELECT step, {_network('x')}, n, half FROM walk WHERE x >= n)
+"""
+
 _PPMI = f"""
 seen AS (
   SELECT doc_id, place, word_id FROM (
@@ -496,6 +517,8 @@ ORACLES = {
     + "SELECT gid, rel::BIGINT AS rel, src, dst FROM masked_channels",
     "epoch_order": with_(_TABLES)
     + "SELECT gid, row_number() OVER (ORDER BY md5(gid || '-epoch-1'), gid) - 1 AS step FROM t",
+    "epoch_permutation": with_(_TABLES, _PERMUTATION).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT x AS gid, step FROM walk WHERE x < n",
     "skipgram_scores": with_(
         "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings)"
     )
