@@ -96,49 +96,49 @@ def siblings(proof: bytes) -> bytes:
     )
 
 
-def _reach(band: int) -> int:
+def _reach(band: int, span: int) -> int:
     """Leaves that a bucket of a band can cover."""
-    return 1 << SPAN * (band + 1)
+    return 1 << span * (band + 1)
 
 
-def _levels(band: int, n: int) -> int | None:
-    return SPAN if n > _reach(band) else None
+def _levels(band: int, n: int, span: int) -> int | None:
+    return span if n > _reach(band, span) else None
 
 
-def raised(nodes: DataFrame, carry: list[str]) -> tuple[list[DataFrame], DataFrame]:
+def raised(nodes: DataFrame, carry: list[str], span: int = SPAN) -> tuple[list[DataFrame], DataFrame]:
     """Buckets by band, and (tree, digest) of the roots, over leaves (tree, lo, n, digest).
 
     `n` is the number of leaves of the tree. A bucket is (tree, bucket, lo, hi, n, digests, kept):
     the digests at its lower edge in order, and for leaves the columns `carry`. Its
-    members are at most 2 ** SPAN rows, gathered by (tree, bucket).
+    members are at most 2 ** `span` rows, gathered by (tree, bucket).
     """
     most = nodes.agg(F.max("n")).first()[0] or 1
     buckets: list[DataFrame] = []
     roots: list[DataFrame] = []
-    while not buckets or _reach(len(buckets) - 1) < most:
+    while not buckets or _reach(len(buckets) - 1, span) < most:
         band = len(buckets)
         kept = F.struct(*(["lo", *carry] if not band else ["lo"]))
         gathered = (
-            nodes.groupBy("tree", F.shiftright("lo", SPAN * (band + 1)).alias("bucket"))
+            nodes.groupBy("tree", F.shiftright("lo", span * (band + 1)).alias("bucket"))
             .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("lo", "digest", kept.alias("kept")))).alias("of"))
             .select(
-                "tree", "bucket", (F.col("bucket") * _reach(band)).alias("lo"),
-                F.least((F.col("bucket") + 1) * _reach(band), "n").alias("hi"), "n",
+                "tree", "bucket", (F.col("bucket") * _reach(band, span)).alias("lo"),
+                F.least((F.col("bucket") + 1) * _reach(band, span), "n").alias("hi"), "n",
                 F.col("of.digest").alias("digests"), F.col("of.kept").alias("kept"),
             )
         )
         buckets.append(materialize(gathered, "merkle-buckets"))
-        tops = materialize(_bucket_roots(buckets[-1], band), "merkle-nodes")
-        roots.append(tops.where(F.col("n") <= _reach(band)))
-        nodes = tops.where(F.col("n") > _reach(band))
+        tops = materialize(_bucket_roots(buckets[-1], band, span), "merkle-nodes")
+        roots.append(tops.where(F.col("n") <= _reach(band, span)))
+        nodes = tops.where(F.col("n") > _reach(band, span))
     return buckets, reduce(DataFrame.unionByName, roots).select("tree", "digest")
 
 
-def _bucket_roots(buckets: DataFrame, band: int) -> DataFrame:
+def _bucket_roots(buckets: DataFrame, band: int, span: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, members = batch.column("n").to_pylist(), batch.column("digests").to_pylist()
         top = [
-            bytes.fromhex(levels_of([d.hex().encode() for d in digests], _levels(band, n))[-1][0].decode())
+            bytes.fromhex(levels_of([d.hex().encode() for d in digests], _levels(band, n, span))[-1][0].decode())
             for n, digests in zip(counts, members, strict=True)
         ]
         names = ["tree", "lo", "n"]
@@ -148,7 +148,7 @@ def _bucket_roots(buckets: DataFrame, band: int) -> DataFrame:
     return map_arrow(slim, rows, "tree long, lo long, n long, digest binary")
 
 
-def lowered(buckets: list[DataFrame], tops: DataFrame) -> DataFrame:
+def lowered(buckets: list[DataFrame], tops: DataFrame, span: int = SPAN) -> DataFrame:
     """(tree, lo, kept, proof, subroot, root) for every leaf: its steps to the root of its
     tree, then those of `tops` (tree, proof, subroot, root)."""
     ends = ["subroot", "root"]
@@ -156,23 +156,23 @@ def lowered(buckets: list[DataFrame], tops: DataFrame) -> DataFrame:
     for band in range(len(buckets) - 1, -1, -1):
         part = buckets[band]
         # trees that end in this band; the others have a node above each of their buckets
-        begun = part.where(F.col("n") <= _reach(band)).join(tops, "tree")
+        begun = part.where(F.col("n") <= _reach(band, span)).join(tops, "tree")
         if above is not None:
             node = above.select(
-                "tree", F.col("lo").alias("from"), F.least(F.col("lo") + _reach(band), "n").alias("until"),
-                F.shiftright("lo", SPAN * (band + 1)).alias("bucket"), "proof", *ends,
+                "tree", F.col("lo").alias("from"), F.least(F.col("lo") + _reach(band, span), "n").alias("until"),
+                F.shiftright("lo", span * (band + 1)).alias("bucket"), "proof", *ends,
             )
             inside = (F.col("from") <= F.col("lo")) & (F.col("hi") <= F.col("until"))
             begun = begun.unionByName(
                 part.join(node, ["tree", "bucket"]).where(inside).select(*begun.columns)
             )
-        above = _member_paths(begun, band)
+        above = _member_paths(begun, band, span)
         if band:
             above = materialize(above, "merkle-paths")
     return above
 
 
-def _member_paths(buckets: DataFrame, band: int) -> DataFrame:
+def _member_paths(buckets: DataFrame, band: int, span: int) -> DataFrame:
     kept = buckets.schema["kept"].dataType.elementType
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def _member_paths(buckets: DataFrame, band: int) -> DataFrame:
             for i in range(batch.num_rows):
                 one = {c: batch.column(c)[i] for c in batch.schema.names}
                 digests = [d.hex().encode() for d in one["digests"].as_py()]
-                paths = steps_of(levels_of(digests, _levels(band, one["n"].as_py())))
+                paths = steps_of(levels_of(digests, _levels(band, one["n"].as_py(), span)))
                 rest = one["proof"].as_py()
                 same = (pa.array([one[c].as_py()] * len(paths), batch.schema.field(c).type) for c in ("tree", "n", "subroot", "root"))
                 members = one["kept"].values
@@ -198,7 +198,9 @@ def _member_paths(buckets: DataFrame, band: int) -> DataFrame:
     return slim.mapInArrow(over, schema)
 
 
-def manifest(leaves: DataFrame, id: str, group: str, leaf: str, carry: list[str] | None = None) -> DataFrame:
+def manifest(
+    leaves: DataFrame, id: str, group: str, leaf: str, carry: list[str] | None = None, span: int = SPAN
+) -> DataFrame:
     """One row for every row of `leaves`: (id, group, leaf, *carry, tree, lo, subroot, root, proof).
 
     `leaf` holds digests in hex digits. Rows of equal `group` are the leaves of a tree, in
@@ -210,7 +212,7 @@ def manifest(leaves: DataFrame, id: str, group: str, leaf: str, carry: list[str]
 
     Leaves are ranked by one range shuffle, in which repeated rows are told apart by
     their place, so neither a group nor an id that many rows share is one task. Whatever
-    is gathered is a bucket of at most 2 ** SPAN nodes.
+    is gathered is a bucket of at most 2 ** `span` nodes.
     """
     carry = carry or []
     slim = leaves.select(
@@ -226,19 +228,20 @@ def manifest(leaves: DataFrame, id: str, group: str, leaf: str, carry: list[str]
     placed = ranked.join(named, F.col("group").eqNullSafe(F.col("named"))).select(
         "tree", (F.col("at") - F.col("first")).alias("lo"), "n", "digest", "id", "group", "carried"
     )
-    buckets, subroots = raised(placed, ["id", "group", "carried"])
+    buckets, subroots = raised(placed, ["id", "group", "carried"], span)
     count = trees.count()
     upper, root = raised(
         subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("lo"), F.lit(count).cast("long").alias("n"), "digest"),
         [],
+        span,
     )
     start = root.select("tree", F.lit(b"").alias("proof"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
     tops = materialize(
-        lowered(upper, start).select(F.col("lo").alias("tree"), "proof", F.col("digest").alias("subroot"), "root"),
+        lowered(upper, start, span).select(F.col("lo").alias("tree"), "proof", F.col("digest").alias("subroot"), "root"),
         "merkle-trees",
     )
     text = {c: F.lower(F.hex(c)) for c in ("digest", "subroot", "root")}
-    return lowered(buckets, tops).select(
+    return lowered(buckets, tops, span).select(
         F.col("kept.id").alias(id), F.col("kept.group").alias(group), text["digest"].alias(leaf),
         *(F.col(f"kept.carried.{c}").alias(c) for c in carry),
         "tree", "lo", text["subroot"].alias("subroot"), text["root"].alias("root"), "proof",
@@ -266,7 +269,7 @@ def checked(proofs: DataFrame, claimed: str) -> DataFrame:
     ).withColumn("verified", F.coalesce(F.col("folded_root") == F.col("root"), F.lit(False)))
 
 
-def tampered_manifest(docs: DataFrame, every: int = 7) -> DataFrame:
+def tampered_manifest(docs: DataFrame, every: int = 7, span: int = SPAN) -> DataFrame:
     """The manifest of `docs` by language, held against leaves of which some are tampered with.
 
     (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) for every row. A
@@ -281,7 +284,7 @@ def tampered_manifest(docs: DataFrame, every: int = 7) -> DataFrame:
         "doc_id", "lang", row_digest(*values.values()).alias("leaf"),
         F.when(chosen, F.unhex(row_digest(*wrong.values()))).alias("tampered"),
     )
-    found = manifest(leaves, "doc_id", "lang", "leaf", ["tampered"])
+    found = manifest(leaves, "doc_id", "lang", "leaf", ["tampered"], span)
     claimed = found.withColumn("claimed", F.coalesce(F.lower(F.hex("tampered")), "leaf")).drop("tampered")
     return checked(claimed, "claimed").select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"

@@ -68,15 +68,10 @@ def given(spark, docs):
     return spark.createDataFrame(docs, "doc_id long, source string, lang string, n_chars long, text string")
 
 
-@pytest.fixture(params=[1, 2, 10])
-def span(request, monkeypatch):
-    monkeypatch.setattr(merkle, "SPAN", request.param)
-    return request.param
-
-
+@pytest.mark.parametrize("span", [1, 2, 10])
 def test_bands_join_up(spark, span):
     docs = [(i, "s", lang, i, f"text {i}") for lang, n in (("a", 21), ("b", 1), ("c", 8), (None, 5), ("é", 2)) for i in range(n)]
-    got = merkle.tampered_manifest(given(spark, docs).repartition(4))
+    got = merkle.tampered_manifest(given(spark, docs).repartition(4), span=span)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(docs)
 
 
