@@ -63,6 +63,12 @@ from gridweave.operators.vocabulary import (
     tokens_to_ids,
     word_counts,
 )
+from gridweave.plans.increments import (
+    append_records,
+    read_increments,
+    read_increments_corpus,
+    read_ledger,
+)
 from gridweave.plans.preprocess import (
     build_dictionary_file,
     build_graph,

@@ -484,8 +484,8 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
-def _rendered(records: DataFrame) -> DataFrame:
-    """Records in text form, one per line."""
+def _rendered(records: DataFrame, *kept: str) -> DataFrame:
+    """Records in text form, one per line, beside the columns `kept`."""
     def listed(items, form):
         return F.array_join(F.transform(items, form), "")
 
@@ -495,6 +495,7 @@ def _rendered(records: DataFrame) -> DataFrame:
     row = lambda cells: F.concat(F.lit(" rows {"), listed(cells, cell("cells")), F.lit(" }"))
     question = lambda q: F.concat(F.lit(" questions { original_text: "), _quoted(q), F.lit(" }"))
     return records.select(
+        *kept,
         F.concat(
             F.lit("id: "),
             _quoted(F.col("id")),
@@ -534,6 +535,38 @@ def record_files_to_graph(spark, sf):
     )
 
 
+def _in_increments(spark, sf):
+    """A store of the order records built in two increments, each of them run twice."""
+    path, store = scratch_path(spark, "record-lines"), scratch_path(spark, "grown-store")
+    records = fx.order_records(spark, sf).withColumn("number", F.col("o_orderkey"))
+    middle = records.agg(F.avg("number")).first()[0]
+    _rendered(records, "number").withColumn("day", (F.col("number") > middle).cast("int")).repartitionByRange(
+        "day", "number"
+    ).sortWithinPartitions("day", "number").drop("number").write.partitionBy("day").text(path)
+    for folder in (f"{path}/day=0", f"{path}/day=0", path, path):
+        gw.append_records(spark, folder, store)
+    return store
+
+
+@query
+def incremental_graph(spark, sf):
+    """All rows of a graph store built in increments."""
+    return _graph_rows(*gw.read_increments(spark, _in_increments(spark, sf)))
+
+
+@query
+def incremental_ledger(spark, sf):
+    """What the ledger says of each increment, and the number of graphs."""
+    store = _in_increments(spark, sf)
+    runs = gw.read_ledger(spark, store).groupBy("increment").agg(
+        F.min("first_gid").alias("first_gid"), F.sum("tables").alias("tables")
+    )
+    total = gw.read_graph_count(spark, store).select(
+        F.lit(-1).alias("increment"), F.lit(0).cast("long").alias("first_gid"), F.col("num").alias("tables")
+    )
+    return runs.unionByName(total)
+
+
 @query
 def graph_round_trip(spark, sf):
     path = scratch_path(spark, "graph")

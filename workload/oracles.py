@@ -594,6 +594,11 @@ ORACLES = {
     "record_files_to_graph": with_(_TABLES, _NODES)
     + """SELECT type, count(*) AS n, count(DISTINCT gid) AS graphs, max(gid) AS last_gid
          FROM nodes GROUP BY type""",
+    "incremental_graph": _subgraph("true"),
+    "incremental_ledger": with_(_TABLES)
+    + """SELECT (oid > (SELECT avg(o_orderkey) FROM orders))::INT AS increment, min(gid) AS first_gid, count(*) AS tables
+         FROM t GROUP BY 1
+         UNION ALL SELECT -1, 0, count(*) FROM t""",
     "graph_round_trip": with_(_TABLES, _NODES, _EDGES)
     + """SELECT type, count(*) AS n FROM nodes GROUP BY type
          UNION ALL SELECT type, count(*) FROM edges GROUP BY type
