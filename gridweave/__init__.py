@@ -1,6 +1,7 @@
 """Tables -> typed graphs, text corpora and training features, as Spark DataFrame jobs."""
 
 from gridweave.functions.text import pad_mask, pad_or_truncate, split_sentences, tokenize
+from gridweave.functions.sql import register_functions
 from gridweave.functions.nodes import node_id, node_type_code, parse_node_id
 from gridweave.operators.attention import (
     Head,

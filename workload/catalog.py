@@ -162,6 +162,41 @@ def tokenize_conversations(spark, sf):
     return _tokenized(gw.at_least_parallel(fx.read(spark, sf, "conversations")), ["conv_id", "turn"], "text")
 
 
+@query
+def sql_tokenize_documents(spark, sf):
+    """The tokenizer called in SQL."""
+    gw.register_functions(spark)
+    return spark.sql(
+        """SELECT doc_id, bigint(size(words)) AS n_words, array_join(words, ' ') AS words
+           FROM (SELECT doc_id, tokenize(text) AS words FROM {documents})""",
+        documents=fx.documents(spark, sf),
+    )
+
+
+@query
+def sql_word_counts(spark, sf):
+    """Words of all documents by a lateral call of the table function."""
+    gw.register_functions(spark)
+    return spark.sql(
+        "SELECT word, count(*) AS cnt FROM {documents} d, LATERAL text_words(d.text) GROUP BY word",
+        documents=fx.documents(spark, sf),
+    )
+
+
+@query
+def sql_graph(spark, sf):
+    """Nodes and edges of all order tables, by lateral calls."""
+    gw.register_functions(spark)
+    return spark.sql(
+        """SELECT 'node' AS part, n.gid, n.id AS a, n.text AS b, n.type
+           FROM {tables} t, LATERAL table_nodes(t.gid, t.columns, t.rows, t.questions) n
+           UNION ALL
+           SELECT 'edge', e.gid, e.src, e.dst, e.type
+           FROM {tables} t, LATERAL table_edges(t.gid, t.columns, t.rows, t.questions, false) e""",
+        tables=fx.order_tables(spark, sf),
+    )
+
+
 @query
 def sentence_split(spark, sf):
     """Skip-gram sentences; the lines of a document are its separated parts."""

@@ -450,6 +450,9 @@ ORACLES = {
     "tokenize_documents": _tokenized("documents", "doc_id", "text"),
     "tokenize_pages": _tokenized("pages", "page_id", "html"),
     "tokenize_conversations": _tokenized("conversations", "conv_id, turn", "text"),
+    "sql_tokenize_documents": _tokenized("documents", "doc_id", "text"),
+    "sql_word_counts": with_(_DOC_WORDS) + "SELECT word, cnt FROM counts",
+    "sql_graph": _subgraph("true"),
     "sentence_split": f"""
         SELECT doc_id, sentence, len(w) AS n_words, {_joined('w')} AS words
         FROM (SELECT doc_id, sentence, {_words('part')} AS w
