@@ -84,6 +84,7 @@ from gridweave.plans.pretraining import (
     write_examples,
 )
 from gridweave.session import at_least_parallel, configure, materialize
+from gridweave.sources.datasource import register_interactions
 from gridweave.sources.interactions import parse_interactions, read_lines, table_texts
 from gridweave.sources.stores import (
     Graph,

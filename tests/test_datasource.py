@@ -1,0 +1,104 @@
+"""The data source of record files against reading lines and parsing them."""
+
+import gzip
+import io
+import random
+
+import pytest
+
+import gridweave as gw
+from gridweave.sources.datasource import split_lines
+from tests.test_sources import BAD, GOOD, UNUSUAL
+
+
+def lines_by_splits(data: bytes, size: int) -> list[bytes]:
+    found = []
+    for start in range(0, len(data), size):
+        stream = io.BytesIO(data)
+        stream.seek(max(start - 1, 0))
+        found += split_lines(stream.read, start, min(start + size, len(data)))
+    return found
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1 << 20])
+def test_each_line_is_in_one_split(monkeypatch, chunk):
+    monkeypatch.setattr("gridweave.sources.datasource._CHUNK", chunk)
+    draw = random.Random(chunk)
+    for _ in range(300):
+        data = b"".join(draw.choices([b"a", b"bc", b"\n", b"\r", b"\r\n", b"\n\n"], k=draw.randrange(14)))
+        want = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n").split(b"\n")
+        want = want[:-1] if not want[-1] else want
+        for size in (1, 2, 3, 5, 100):
+            assert lines_by_splits(data, size) == want, (data, size)
+
+
+def test_a_very_long_line():
+    data = b"x" * 20_000_000 + b"\nend"
+    assert [len(line) for line in lines_by_splits(data, 6_000_000)] == [20_000_000, 3]
+
+
+@pytest.fixture
+def records(tmp_path):
+    folder = tmp_path / "records"
+    (folder / "day=0").mkdir(parents=True)
+    (folder / "day=1").mkdir()
+    texts = GOOD + UNUSUAL
+    (folder / "day=0" / "a é.txt").write_text("\n".join(texts * 20))
+    (folder / "day=1" / "b.txt").write_text("\r\n".join(texts))
+    (folder / "day=0" / "empty.txt").write_text("")
+    (folder / "day=0" / "_hidden").write_text("no record")
+    with gzip.open(folder / "day=0" / "c.txt.gz", "wt") as out:
+        out.write("\n".join(texts) + "\n")
+    return folder
+
+
+def parsed(frame) -> list[str]:
+    return sorted(repr((r.record, r.error)) for r in frame.select("record", "error").collect())
+
+
+@pytest.mark.parametrize("split", ["100", "33554432"])
+def test_rows_are_those_of_the_parser(spark, records, split):
+    gw.register_interactions(spark)
+    found = spark.read.format("interactions").option("splitBytes", split).load(str(records))
+    want = gw.parse_interactions(gw.read_lines(spark, str(records)))
+    assert found.dtypes == want.dtypes
+    assert parsed(found) == parsed(want) and found.count() == 22 * len(GOOD + UNUSUAL)
+
+
+def test_bad_lines(spark, tmp_path):
+    gw.register_interactions(spark)
+    (tmp_path / "bad.txt").write_text("\n".join(BAD + GOOD))
+    read = spark.read.format("interactions")
+    with pytest.raises(Exception, match="(?i)parse"):
+        read.load(str(tmp_path)).collect()
+    found = read.option("mode", "permissive").load(str(tmp_path))
+    assert parsed(found) == parsed(gw.parse_interactions(gw.read_lines(spark, str(tmp_path)), "permissive"))
+
+
+def test_a_stream_gives_each_file_once(spark, records, tmp_path):
+    gw.register_interactions(spark)
+
+    def run(log="log"):
+        stream = spark.readStream.format("interactions").option("log", str(tmp_path / log))
+        query = (
+            stream.load(str(records))
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start(str(tmp_path / "out"))
+        )
+        query.awaitTermination(120)
+        assert query.exception() is None and not query.isActive
+
+    run()
+    run()
+    (records / "day=0" / "0.txt").write_text(GOOD[0] + "\n")  # sorts before what was read
+    run()
+    want = gw.parse_interactions(gw.read_lines(spark, str(records)))
+    assert parsed(spark.read.parquet(str(tmp_path / "out"))) == parsed(want)
+
+
+def test_a_stream_needs_a_log(spark, records):
+    gw.register_interactions(spark)
+    with pytest.raises(Exception, match="log"):
+        spark.readStream.format("interactions").load(str(records)).writeStream.format("noop").start().awaitTermination(60)

@@ -543,11 +543,8 @@ def _rendered(records: DataFrame, *kept: str) -> DataFrame:
     )
 
 
-@query
-def parse_interactions(spark, sf):
-    path = scratch_path(spark, "record-lines")
-    _rendered(fx.order_records(spark, sf)).write.text(path)
-    tables = gw.table_texts(gw.parse_interactions(gw.read_lines(spark, path)))
+def _records_printed(records: DataFrame) -> DataFrame:
+    tables = gw.table_texts(records)
     rows = F.transform("rows", lambda cells: F.array_join(cells, ","))
     return tables.select(
         "id",
@@ -557,6 +554,44 @@ def parse_interactions(spark, sf):
     )
 
 
+@query
+def parse_interactions(spark, sf):
+    path = scratch_path(spark, "record-lines")
+    _rendered(fx.order_records(spark, sf)).write.text(path)
+    return _records_printed(gw.parse_interactions(gw.read_lines(spark, path)))
+
+
+@query
+def interactions_source(spark, sf):
+    """The same records read by the data source."""
+    path = scratch_path(spark, "record-lines")
+    _rendered(fx.order_records(spark, sf)).write.text(path)
+    gw.register_interactions(spark)
+    return _records_printed(spark.read.format("interactions").load(path))
+
+
+@query
+def interactions_stream(spark, sf):
+    """The same records as a stream that is started twice: files come in two lots, and the
+    second start goes on from the first one's checkpoint."""
+    root = scratch_path(spark, "record-stream")
+    gw.register_interactions(spark)
+    records = _rendered(fx.order_records(spark, sf), "o_orderkey")
+    for lot in range(2):
+        wanted = F.crc32(F.col("o_orderkey").cast("string")) % 2 == lot
+        records.where(wanted).select("value").write.text(f"{root}/records/lot={lot}")
+        stream = spark.readStream.format("interactions").option("log", f"{root}/log")
+        started = (
+            stream.load(f"{root}/records")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{root}/rows")
+        )
+        started.awaitTermination()
+    return _records_printed(spark.read.parquet(f"{root}/rows"))
+
+
 @query
 def record_files_to_graph(spark, sf):
     """Record files to node counts: reading, parsing, filtering, numbering, building."""

@@ -421,6 +421,13 @@ SELECT c.*, s.pos AS i, d.pos AS j FROM {pairs} c
 JOIN nodes s ON s.gid = c.gid AND s.id = c.src JOIN nodes d ON d.gid = c.gid AND d.id = c.dst
 """
 
+_RECORDS = (
+    with_(_TABLES)
+    + """SELECT oid::VARCHAR AS id, 'line,part,qty,flag' AS columns, coalesce(body, '') AS rows, caption AS questions
+             FROM t LEFT JOIN (SELECT oid, string_agg(array_to_string(cells, ','), ';' ORDER BY r) AS body
+                               FROM li GROUP BY oid) USING (oid)"""
+)
+
 ORACLES = {
     "table_size_filter": """
         SELECT l_suppkey::VARCHAR AS id, count(*) AS n_rows, count(*) * 5 AS n_cells
@@ -590,10 +597,9 @@ ORACLES = {
         _LOG_P,
     )
     + f"SELECT gid, n, {_rounded('loss')} AS loss FROM losses",
-    "parse_interactions": with_(_TABLES)
-    + """SELECT oid::VARCHAR AS id, 'line,part,qty,flag' AS columns, coalesce(body, '') AS rows, caption AS questions
-         FROM t LEFT JOIN (SELECT oid, string_agg(array_to_string(cells, ','), ';' ORDER BY r) AS body
-                           FROM li GROUP BY oid) USING (oid)""",
+    "parse_interactions": _RECORDS,
+    "interactions_source": _RECORDS,
+    "interactions_stream": _RECORDS,
     "record_files_to_graph": with_(_TABLES, _NODES)
     + """SELECT type, count(*) AS n, count(DISTINCT gid) AS graphs, max(gid) AS last_gid
          FROM nodes GROUP BY type""",
