@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import gridweave as gw
+from gridweave.operators.attention import _large_graphs
 from gridweave.operators.lookup import ranked_lookup
 from gridweave.schemas import NODE_TYPES, RELATIONS, TABLE_SCHEMA
 
@@ -172,6 +173,32 @@ def test_attention_with_far_apart_scores(spark):
         assert np.allclose(got, dense_layer(x, channel, head, False))
 
 
+def test_many_nodes_with_few_pairs_are_spread(spark):
+    """A graph over the bound on nodes goes by node, with a few pairs or none; others stay whole."""
+    sizes = {0: 3, 1: 30, 2: 25}
+    draw = np.random.default_rng(8)
+    x = {g: draw.normal(size=(n, 2)) for g, n in sizes.items()}
+    features = spark.createDataFrame(
+        [(g, i, row.tolist()) for g, rows in x.items() for i, row in enumerate(rows)],
+        "gid long, id int, h array<double>",
+    )
+    pairs = [(0, 0, 1, [0]), (1, 4, 5, [0]), (1, 5, 5, [0])]
+    related = spark.createDataFrame(pairs, "gid long, src int, dst int, rels array<int>")
+    large = _large_graphs(features, related, pairs=1, nodes=25)
+    assert sorted(r.gid for r in large.collect()) == [1]
+    assert sorted(r.gid for r in _large_graphs(features, related, 10, 24).collect()) == [1, 2]
+    head = gw.Head(draw.normal(size=(2, 3)), draw.normal(size=6))
+    out = gw.attention_layer(features, related, [head], colocated_nodes=24)
+    got = {(r.gid, r.id): r.h for r in out.collect()}
+    for gid, rows in x.items():
+        channel = np.zeros((len(rows), len(rows)))
+        for g, a, b, _ in pairs:
+            if g == gid:
+                channel[a, b] = 1
+        want = dense_layer(rows, channel, head, True)
+        assert np.allclose([got[gid, i] for i in range(len(rows))], want)
+
+
 def test_edge_softmax_sums_to_one(spark):
     rows = [(0, "a", float(s)) for s in (1, 900, 901)] + [(0, "b", -1000.0)]
     got = gw.edge_softmax(spark.createDataFrame(rows, "gid long, src string, score double"), ["gid", "src"])
