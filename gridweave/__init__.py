@@ -26,6 +26,7 @@ from gridweave.operators.permutation import (
     graphs_at_steps,
     steps_of,
 )
+from gridweave.operators.rare_words import frequent_word_counts
 from gridweave.operators.relations import (
     edge_relations,
     relation_channels,

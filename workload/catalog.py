@@ -232,6 +232,12 @@ def dictionary(spark, sf):
     return gw.build_dictionary(gw.word_counts(fx.documents(spark, sf)))
 
 
+@query
+def frequent_dictionary(spark, sf):
+    """The dictionary from counts whose rare words a counting filter keeps out of the shuffle."""
+    return gw.number_words(gw.frequent_word_counts(fx.documents(spark, sf)))
+
+
 @query
 def token_ids(spark, sf):
     found = gw.tokens_to_ids(

@@ -504,6 +504,7 @@ ORACLES = {
     "word_counts": with_(_DOC_WORDS) + "SELECT word, cnt FROM counts",
     "dictionary_size": with_(_DOC_WORDS) + "SELECT count(*) AS num_words FROM counts",
     "dictionary": with_(_DOC_WORDS, _DICTIONARY) + "SELECT word, cnt, word_id FROM dictionary",
+    "frequent_dictionary": with_(_DOC_WORDS, _DICTIONARY) + "SELECT word, cnt, word_id FROM dictionary",
     "dictionary_round_trip": with_(_DOC_WORDS, _DICTIONARY)
     + "SELECT word, cnt, word_id FROM dictionary",
     "token_ids": with_(_DOC_WORDS, _DICTIONARY, _ids("documents", "doc_id"))
