@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,6 +23,8 @@ MOST_REPEATED = 20
 # Expected rows of the sample that rules are measured on, and its seed.
 SAMPLE_ROWS = 2000
 SAMPLE_SEED = 7
+# What is worked out for every document before the cascade.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 class Document:
@@ -137,26 +140,36 @@ def base_failed(d: Document) -> bool:
     return d.n_words < LEAST_WORDS or 100 * d.n_repeat_words > MOST_REPEATED * d.n_words
 
 
+def with_counts(text: bytes | None) -> Document:
+    """A document whose base counts are worked out."""
+    d = Document(text)
+    for name in COUNTS:
+        getattr(d, name)
+    return d
+
+
 def measure(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text"
 ) -> dict[str, tuple[float, float]]:
     """{rule: (seconds a document, share rejected)} on a sample of about `rows` rows.
 
-    Workers time each rule on documents of its own, so that work which rules share counts
-    for each; only sums come back. Without rows, nothing is known.
+    The sample is what the cascade sees: documents that the base lets pass, with the base
+    counts known, so only what a rule adds to them is timed. Each rule has documents of
+    its own, so that work which rules share counts for each. Workers return sums. If no
+    sampled document passes the base, nothing is known.
     """
     total = docs.count()
     share = min(1.0, rows / max(1, total))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = texts(batch)
+            passing = [d for d in map(with_counts, texts(batch)) if not base_failed(d)]
             out = []
             for rule in rules:
-                docs_of_rule = [Document(t) for t in column]
+                docs_of_rule = [copy.copy(d) for d in passing]
                 began = time.perf_counter()
                 rejected = sum(map(rule.rejects, docs_of_rule))
-                out.append((rule.name, time.perf_counter() - began, rejected, len(column)))
+                out.append((rule.name, time.perf_counter() - began, rejected, len(passing)))
             yield pa.record_batch(
                 [pa.array(c) for c in zip(*out, strict=True)], ["rule", "seconds", "rejected", "n"]
             )
@@ -196,20 +209,18 @@ def judge(
     words and fail. Equal texts get equal verdicts. An empty table gives no rows.
     """
     cascade = ordered(rules, measure(docs, rules, text=text))
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: dict[str, list] = {c: [] for c in (*counts, "base_failed", "kept", "rejected_by")}
+        columns: dict[str, list] = {c: [] for c in (*COUNTS, "base_failed", "kept", "rejected_by")}
         for t in texts(batch):
-            d = Document(t)
-            for c in counts:
+            d = with_counts(t)
+            for c in COUNTS:
                 columns[c].append(getattr(d, c))
             failed = base_failed(d)
             by = "base" if failed else first_rejection(d, cascade)
             columns["base_failed"].append(failed)
             columns["kept"].append(by is None)
             columns["rejected_by"].append(by)
-        kinds = [pa.int64()] * len(counts) + [pa.bool_(), pa.bool_(), pa.string()]
+        kinds = [pa.int64()] * len(COUNTS) + [pa.bool_(), pa.bool_(), pa.string()]
         return pa.record_batch(
             [batch.column(0), *(pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True))],
             ["doc_id", *columns],
@@ -218,5 +229,5 @@ def judge(
     return map_arrow(
         docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")),
         rows,
-        "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, rejected_by string",
+        "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, rejected_by string",
     )

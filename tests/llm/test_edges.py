@@ -72,6 +72,17 @@ def test_rule_order_does_not_change_verdicts(odd):
     assert rows_of(a) == rows_of(b)
 
 
+def test_rules_are_measured_on_what_the_base_lets_pass(spark):
+    plain = " ".join(f"word{i}" for i in range(30))
+    texts = [plain] * 6 + ["# # #", "", None, "a b c d e " * 9] + [plain.upper()] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    watch = tuple(rules.Rule(n, lambda d, n=n: n in d.__dict__) for n in (*rules.COUNTS[1:], "n_distinct"))
+    shares = {n: share for n, (_, share) in rules.measure(df, (*rules.RULES, *watch)).items()}
+    assert shares["capitals"] == 2 / 8 and shares["symbols"] == 0
+    assert all(shares[n] == 1 for n in rules.COUNTS[1:]) and shares["n_distinct"] == 0
+    assert rules.measure(df.where("doc_id in (6, 7, 8, 9)")) == {}
+
+
 def test_rules_by_rejections_per_cost():
     given = tuple(rules.Rule(n, lambda d: False) for n in "abcd")
     measured = {"a": (1.0, 0.5), "b": (0.1, 0.4), "c": (0.01, 0.0)}
