@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from math import sqrt
 
 import numpy as np
@@ -28,6 +29,8 @@ ROUNDS = 6
 # Vectors of either side that one task compares at a time.
 PART = 4096
 QUERIES_AT_ONCE = 64
+# Vectors compared with all centroids at a time.
+ROWS_AT_ONCE = 1024
 # A part of pairs above which products of whole blocks are cheaper than of single pairs.
 DENSE = 0.05
 SLACK = 1e-6
@@ -44,6 +47,17 @@ class Model:
     def width(self) -> int:
         return self.centroids.shape[1]
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between centroids, worked out once in each worker."""
+        return np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))
+
+
+def _closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The list of each unit vector; memory does not grow with vectors times lists."""
+    parts = [(x[at : at + ROWS_AT_ONCE] @ centroids.T).argmax(1) for at in range(0, len(x), ROWS_AT_ONCE)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return (x @ book.T - (book * book).sum(1) / 2).argmax(1)
@@ -63,9 +77,9 @@ def train(sample: np.ndarray, lists: int, seed: int = 0) -> Model:
     x = padded(sample, width)
     centroids = x[rng.permutation(len(x))[: max(1, min(lists, len(x)))]].copy()
     for _ in range(ROUNDS):
-        centroids = _means(x, (x @ centroids.T).argmax(1), centroids)
+        centroids = _means(x, _closest(x, centroids), centroids)
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    residual = (x - centroids[(x @ centroids.T).argmax(1)]).reshape(len(x), SUBSPACES, -1)
+    residual = (x - centroids[_closest(x, centroids)]).reshape(len(x), SUBSPACES, -1)
     books = []
     for s in range(SUBSPACES):
         part = residual[:, s]
@@ -82,7 +96,7 @@ def padded(x: np.ndarray, width: int) -> np.ndarray:
 
 def encode(model: Model, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """List, residual code and distance from the decoded vector, for each unit vector."""
-    cell = (unit @ model.centroids.T).argmax(1)
+    cell = _closest(unit, model.centroids)
     residual = (unit - model.centroids[cell]).reshape(len(unit), SUBSPACES, -1)
     code = np.stack([_nearest(residual[:, s], model.books[s]) for s in range(SUBSPACES)], 1)
     decoded = np.stack([model.books[s][code[:, s]] for s in range(SUBSPACES)], 1)
@@ -96,11 +110,23 @@ def probes(model: Model, unit: np.ndarray, radius: float) -> list[np.ndarray]:
     nearest to the query, so the query's products with b and j differ by no more than
     radius * |b - j|.
     """
-    products = unit @ model.centroids.T
-    best = products.argmax(1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * model.centroids @ model.centroids.T))
-    gap = products[np.arange(len(unit)), best][:, None] - products
-    return [np.flatnonzero(row) for row in gap <= radius * apart[best] + SLACK]
+    out = []
+    for at in range(0, len(unit), ROWS_AT_ONCE):
+        products = unit[at : at + ROWS_AT_ONCE] @ model.centroids.T
+        best = products.argmax(1)
+        gap = products[np.arange(len(best)), best][:, None] - products
+        out += [np.flatnonzero(row) for row in gap <= radius * model.apart[best] + SLACK]
+    return out
+
+
+def asked_lists(cell: np.ndarray, possible: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the possible lists, each vector's own and those that it is the one to ask.
+
+    Both vectors of a link find each other's list possible, so one of them is enough. Of two
+    lists, the lower number asks if both are odd or both even, else the higher, so every
+    list asks about half of the others.
+    """
+    return [p[(p == c) | ((c < p) == ((c + p) % 2 == 0))] for c, p in zip(cell, possible, strict=True)]
 
 
 def table_distances(model: Model, cell: int, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -195,8 +221,8 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
     each links to, counting copies; and (a, b), links that connect what these connect.
 
     Vectors of one label and length meet in inverted lists. Each vector is a member of one
-    list and asks all lists that can hold a link of it; lists of codes are looked up in
-    tables, and what the error of the code leaves possible is compared exactly. A list is
+    list. It asks that list, and of the others that can hold a link of it those that do
+    not ask its own; such a link counts at both ends. Lists of codes are looked up in tables, and what the error of the code leaves possible is compared exactly. A list is
     cut in parts of bounded size; each part of its queries meets each part of its members
     in a group of its own, so a list that holds a third of all vectors is many groups.
     Groups return sums and spanning links, never pairs.
@@ -217,7 +243,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
         unit = _matrix(batch.column("vector").to_pylist(), shared.value.width)
         cell, code, error = encode(shared.value, unit)
-        asked = [row.tolist() for row in probes(shared.value, unit, radius)]
+        asked = [row.tolist() for row in asked_lists(cell, probes(shared.value, unit, radius))]
         return pa.record_batch(
             [
                 *(batch.column(c) for c in ("node", "label", "vector", "copies")),
@@ -238,10 +264,10 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
         "vector-lists",
     ).withColumn("width", F.size("vector"))
     key = ["label", "width", "cell"]
-    members = placed.select(*key, "node", "vector", "copies", "code", "error", F.lit(False).alias("asks"))
+    members = placed.select(*key, "node", "vector", "copies", "code", "error", F.lit(False).alias("asks"), F.lit(True).alias("at_home"))
     queries = placed.select(
-        "label", "width", F.explode("asked").alias("cell"), "node", "vector", "copies", "code", "error", F.lit(True).alias("asks")
-    )
+        "label", "width", F.col("cell").alias("home"), F.explode("asked").alias("cell"), "node", "vector", "copies", "code", "error"
+    ).select(*key, "node", "vector", "copies", "code", "error", F.lit(True).alias("asks"), (F.col("home") == F.col("cell")).alias("at_home"))
     # one row per list and side: as many as there are lists, not vectors
     counts = materialize(
         members.select(*key, "asks").unionByName(queries.select(*key, "asks")).groupBy(*key).agg(
@@ -257,7 +283,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
         .join(counts, key)
         .select("*", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), against - 1)).alias("other"))
         .select(
-            *key, "node", "vector", "copies", "code", "error", "asks",
+            *key, "node", "vector", "copies", "code", "error", "asks", "at_home",
             F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("q"),
             F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("m"),
         )
@@ -270,6 +296,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                 {
                     "id": side["node"].to_numpy(),
                     "copies": side["copies"].to_numpy(),
+                    "at_home": side["at_home"].to_numpy(bool),
                     "unit": _matrix(side["vector"], shared.value.width),
                     "error": side["error"].to_numpy(np.float32),
                     "code": np.frombuffer(b"".join(side["code"]), np.uint8).reshape(-1, SUBSPACES),
@@ -280,9 +307,12 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
             return pd.DataFrame({"a": [], "b": [], "n": []})
         linked = block_links(shared.value, int(group["cell"].iloc[0]), q, m, cosine)
         linked &= q["id"][:, None] != m["id"]
-        n = linked @ m["copies"]
+        # links within a list are found from both ends, others from one
+        abroad = ~q["at_home"]
+        ids = np.concatenate([q["id"], m["id"]])
+        n = np.concatenate([linked @ m["copies"], q["copies"][abroad] @ linked[abroad]])
         some = n > 0
-        counted = pd.DataFrame({"a": q["id"][some], "b": None, "n": n[some]})
+        counted = pd.DataFrame({"a": ids[some], "b": None, "n": n[some]})
         stars = pd.DataFrame(_stars(q["id"], m["id"], linked), columns=["a", "b"])
         return pd.concat([counted, stars.assign(n=None)]).astype({"a": "int64", "b": "Int64", "n": "Int64"})
 

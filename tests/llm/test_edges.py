@@ -367,6 +367,15 @@ def test_vectors_in_small_parts(spark, monkeypatch):
     assert near.sum() > 100 and len(set(root)) > 12
 
 
+def test_one_of_two_lists_asks():
+    lists = 9
+    every = [np.arange(lists)] * lists
+    asked = vectors.asked_lists(np.arange(lists), every)
+    for a in range(lists):
+        assert a in asked[a] and len(asked[a]) == 1 + lists // 2
+        assert all((b in asked[a]) != (a in asked[b]) for b in range(lists) if b != a)
+
+
 def test_probes_are_sufficient():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 16))
