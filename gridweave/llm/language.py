@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm.common import is_held_out, map_arrow, texts
+from gridweave.session import materialize
 
 HASH_BITS = 16
 FEATURES = 1 << HASH_BITS
@@ -23,8 +25,8 @@ PENALTY = 6.0
 LEAST_PART = 0.01
 # Languages a counting task holds before it passes their counts on.
 HELD_LANGUAGES = 64
-# The most languages a model may have: its table goes to every worker.
-MOST_LANGUAGES = 2000
+# The most languages a model may have: its table, 256 KB a language, goes to every worker.
+MOST_LANGUAGES = 1000
 CELLS_AT_ONCE = 1 << 21
 UNKNOWN = "und"
 
@@ -82,16 +84,35 @@ def _rows(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def log_probabilities(counted: DataFrame) -> DataFrame:
+    """(lang, log_p) of (lang, gram, n): one packed row of FEATURES floats for each language,
+    made of its at most FEATURES counts."""
+
+    def pack(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.full(FEATURES, SMOOTHING)
+        counts[rows["gram"].to_numpy()] += rows["n"].to_numpy()
+        log_p = np.log(counts / counts.sum()).astype(np.float32)
+        return pd.DataFrame({"lang": [key[0]], "log_p": [log_p.tobytes()]})
+
+    return counted.groupBy("lang").applyInPandas(pack, "lang string, log_p binary")
+
+
 def fit(docs: DataFrame) -> Model:
-    """Smoothed n-gram probabilities of each language, from all rows that are not held out."""
-    got = count_grams(docs.where(~is_held_out())).toPandas()
-    languages = sorted(got["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} values of lang; a model may have {MOST_LANGUAGES}")
-    counts = np.full((FEATURES, len(languages)), SMOOTHING)
+    """Smoothed n-gram probabilities of each language, from all rows that are not held out.
+
+    The driver takes a packed row for each language, one partition of them at a time, into
+    the model's table, of at most MOST_LANGUAGES columns; more are an error before that.
+    """
+    packed = materialize(log_probabilities(count_grams(docs.where(~is_held_out()))), "language-model")
+    n = packed.count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} values of lang; a model may have {MOST_LANGUAGES}")
+    languages = sorted(r["lang"] for r in packed.select("lang").collect())
     place = {lang: i for i, lang in enumerate(languages)}
-    counts[got["gram"].to_numpy(), got["lang"].map(place).to_numpy(dtype=np.int64)] += got["n"].to_numpy()
-    return Model(languages, np.log(counts / counts.sum(0)).astype(np.float32) if languages else counts)
+    log_p = np.empty((FEATURES, n), np.float32)
+    for row in packed.toLocalIterator():
+        log_p[:, place[row["lang"]]] = np.frombuffer(row["log_p"], np.float32)
+    return Model(languages, log_p)
 
 
 def _mixtures(

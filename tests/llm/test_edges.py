@@ -243,6 +243,23 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language.identify(odd.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_language_model_is_what_the_rows_say(spark, monkeypatch):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("abc abd", "x"), ("abc", "y"), ("qrs", "x"), (None, "y"), ("zzz", None), ("", "w"), ("é", "ü")] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    learned = docs.where(~language.is_held_out()).collect()
+    names = sorted({r["lang"] for r in learned if r["lang"] and r["text"]})
+    counts = np.full((language.FEATURES, len(names)), language.SMOOTHING)
+    for r in learned:
+        if r["lang"] and r["text"]:
+            np.add.at(counts[:, names.index(r["lang"])], language.grams(r["text"].encode()), 1)
+    model = language.fit(docs)
+    assert model.languages == names
+    assert np.array_equal(model.log_p, np.log(counts / counts.sum(0)).astype(np.float32))
+    monkeypatch.setattr(language, "MOST_LANGUAGES", len(names) - 1)
+    with pytest.raises(ValueError):
+        language.fit(docs)
+
+
 def test_language_letters():
     assert language.has_letter("é".encode()) and language.has_letter("ª".encode()) and language.has_letter("字".encode())
     assert not any(language.has_letter(t.encode()) for t in ("", "12 ½ ² _-!", "①")) and not language.has_letter(None)
