@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridweave.functions.chance import shuffle_key
 from gridweave.session import materialize
 
+# Rows of a graph that `node_positions` ranks in one piece.
+ROWS_RANKED = 1024
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row in these, the partition above
 
 
@@ -80,13 +83,19 @@ def node_positions(nodes: DataFrame) -> DataFrame:
 
     For node sets that lost some of a graph's nodes; a stored graph has `pos` already.
     """
-    indexed = dense_index(
-        nodes.drop("pos"), [F.col("gid"), F.col("row"), F.col("col")], "_index"
+    # Ranks are taken within ranges of rows, so that a large graph spreads.
+    placed = nodes.drop("pos").withColumn("_range", F.coalesce(F.floor(F.col("row") / ROWS_RANKED), F.lit(-(1 << 62))))
+    earlier = Window.partitionBy("gid").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("gid", "_range")
+        .agg(F.count("*").alias("_size"))
+        .select("gid", "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     )
-    firsts = indexed.groupBy("gid").agg(F.min("_index").alias("_first"))
+    local = F.row_number().over(Window.partitionBy("gid", "_range").orderBy("row", "col"))
     return (
-        indexed.join(firsts, "gid")
-        .withColumn("pos", (F.col("_index") - F.col("_first")).cast("int"))
+        placed.withColumn("_local", local)
+        .join(offsets, ["gid", "_range"])
+        .withColumn("pos", (F.col("_offset") + F.col("_local") - 1).cast("int"))
         .select(*[c for c in nodes.columns if c != "pos"], "pos")
     )
 
