@@ -49,6 +49,7 @@ def kept_words(
         keep_thresholds(dictionary, sample),
         "word",
         (F.col("word_id") < HEAD_WORDS) & (F.length("word") <= HEAD_WORD_LENGTH),
+        twice=True,
     )
     return found.where(
         F.col("word_id").isNotNull() & (draw(f"{seed}/keep", *map(F.col, keys), F.col("pos")) < F.col("keep"))
