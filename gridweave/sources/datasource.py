@@ -23,13 +23,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gridweave.schemas import INTERACTION_SCHEMA, MESSAGES
+from gridweave.schemas import INTERACTION_SCHEMA
 from gridweave.session import ship
-from gridweave.sources.interactions import _record_to_json
+from gridweave.sources.interactions import BATCH_CHARS, _completed, _record_of
 
 SPLIT_BYTES = 32 << 20
 _CHUNK = 1 << 20
-_BATCH_CHARS = 4 << 20  # text of one Arrow batch
 _LINE_END = re.compile(rb"\r\n|\n|\r")
 _BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
@@ -89,27 +88,13 @@ def split_lines(read, start: int, end: int | None) -> Iterator[bytes]:
             return
 
 
-def _completed(kind: str, value):
-    """A record from JSON with numbers as the schema has them; an answer is valid unless it
-    says otherwise."""
-    base = kind.rstrip("*")
-    if kind.endswith("*"):
-        return [_completed(base, item) for item in value]
-    if base == "float":
-        return float(value)
-    if base not in MESSAGES:
-        return value
-    filled = {name: _completed(k, value[name]) for name, _, k in MESSAGES[base] if name in value}
-    return {"is_valid": True} | filled if base == "Answer" else filled
-
-
 def _rows(split: Split, failfast: bool) -> Iterator[tuple[int, dict | None, str | None]]:
     from google.protobuf.text_format import ParseError
 
     for line in split.lines():
         text = line.decode("utf-8", "replace")
         try:
-            yield len(text), _completed("Interaction", json.loads(_record_to_json(text))), None
+            yield len(text), _completed("Interaction", _record_of(text)), None
         except ParseError as problem:
             if failfast:
                 raise
@@ -158,7 +143,7 @@ class _Records:
                 {"file_path": split.path, "block_start": split.start, "record": record, "error": error}
             )
             size += length
-            if size >= _BATCH_CHARS:
+            if size >= BATCH_CHARS:
                 yield pa.RecordBatch.from_pylist(held, schema)
                 held, size = [], 0
         if held:

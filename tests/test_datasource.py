@@ -102,3 +102,54 @@ def test_a_stream_needs_a_log(spark, records):
     gw.register_interactions(spark)
     with pytest.raises(Exception, match="log"):
         spark.readStream.format("interactions").load(str(records)).writeStream.format("noop").start().awaitTermination(60)
+
+
+def test_runs_of_texts_are_read_at_once():
+    """Columns and cells are taken a run at a time, and other forms as before."""
+    import re
+
+    from google.protobuf import json_format, text_format
+
+    from gridweave.sources import interactions
+
+    tried = []
+
+    class Counted:
+        def match(self, *where):
+            tried.append(where[1:])
+            return plain.match(*where)
+
+    plain, interactions._PLAIN = interactions._PLAIN, Counted()
+    try:
+        cells = "".join(f' cells {{ text: "{k}" }}' for k in range(50))
+        record = interactions._plain_record(f'id: "1" table {{ columns {{ text: "a" }} rows {{{cells} }} }}')
+    finally:
+        interactions._PLAIN = plain
+    assert [c["text"] for c in record["table"]["rows"][0]["cells"]] == [str(k) for k in range(50)]
+    assert len(tried) < 10
+    for line in [
+        'table { columns{text:"a\\n\\"b"}columns:{text:"c"} columns { text: "d" numeric_value { float_value: 2 } } columns { text: "e" } }',
+        'table { columns { text: "a" } rows { cells { text: "b" } cells { } cells { text: "c" "d" } } columns { text: "}" } }',
+        'table { columns { text: "a" text_unknown: 1 } }',
+        'questions { original_text: "x" } questions { text: "y" }',
+        'table { rows { columns { text: "x" } } }',
+        'table { columns { text: "\\101" } }',
+    ]:
+        try:
+            want = json_format.MessageToDict(
+                text_format.Parse(line, interactions._record_class()()), preserving_proto_field_name=True
+            )
+        except text_format.ParseError:
+            with pytest.raises(text_format.ParseError):
+                interactions._record_of(line)
+            continue
+        assert interactions._record_of(line) == want, re.sub(r"\s+", " ", line)
+
+
+def test_lines_are_read_once(spark):
+    """A filter on the record does not make the lines be read for it as well."""
+    lines = spark.createDataFrame([('id: "1"',)], "value string")
+    found = gw.table_texts(gw.parse_interactions(lines))
+    steps = found._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("InArrow") == 1 and "from_json" not in steps and "ArrowEvalPython" not in steps
+    assert found.first().id == "1"
