@@ -59,24 +59,31 @@ _NODES = f"""concat(
     array({_node("size(body) + 1", "0", "Caption", f"array_join(asked, {_quoted(SEPARATOR)})")}))"""
 
 
-def _link(a: str, b: str, types: tuple[str, str]) -> str:
-    return f"named_struct('a', {a}, 'b', {b}, 'ta', '{types[0]}', 'tb', '{types[1]}')"
+def _link(a: tuple[str, str], b: tuple[str, str], types: tuple[str, str]) -> str:
+    """Both directions of a link between the nodes at (row, column) `a` and `b`, as numbers: text
+    is made after the call's generator, where it is compiled."""
+    return "array({}, {})".format(
+        *(
+            f"named_struct('sr', int({s[0]}), 'sc', int({s[1]}), 'dr', int({d[0]}), 'dc', int({d[1]}), 'type', '{x}-{y}')"
+            for s, d, x, y in ((a, b, *types), (b, a, *reversed(types)))
+        )
+    )
 
 
 def _at(row: str, col: str) -> str:
     return f"concat_ws('-', graph, {row}, {col})"
 
 
-_HUB, _BELOW = _at("0", "0"), _at("size(body) + 1", "0")
+_HUB, _BELOW = ("0", "0"), ("size(body) + 1", "0")
 _WIDTH = "CASE WHEN dangling THEN size(headers) ELSE least(size(headers), size(cells)) END"
 
 _LINKS = f"""concat(
-    transform(headers, (text, c) -> {_link(_HUB, _at("0", "c + 1"), ("VH", "H"))}),
+    transform(headers, (text, c) -> {_link(_HUB, ("0", "c + 1"), ("VH", "H"))}),
     flatten(transform(body, (cells, r) -> concat(
-        array({_link(_BELOW, _at("r + 1", "0"), ("Caption", "VE"))}),
-        transform(cells, (text, c) -> {_link(_at("r + 1", "0"), _at("r + 1", "c + 1"), ("VE", "Cell"))}),
+        array({_link(_BELOW, ("r + 1", "0"), ("Caption", "VE"))}),
+        transform(cells, (text, c) -> {_link(("r + 1", "0"), ("r + 1", "c + 1"), ("VE", "Cell"))}),
         transform(slice(headers, 1, {_WIDTH}),
-                  (text, c) -> {_link(_at("0", "c + 1"), _at("r + 1", "c + 1"), ("H", "Cell"))})))),
+                  (text, c) -> {_link(("0", "c + 1"), ("r + 1", "c + 1"), ("H", "Cell"))})))),
     array({_link(_BELOW, _HUB, ("Caption", "VH"))}))"""
 
 FUNCTIONS = [
@@ -89,9 +96,8 @@ FUNCTIONS = [
     FROM (SELECT posexplode({_NODES}) AS (pos, node))""",
     f"""table_edges({_TABLE}, dangling BOOLEAN DEFAULT true)
     RETURNS TABLE (gid BIGINT, src STRING, dst STRING, type STRING)
-    RETURN SELECT graph, src, dst, type FROM (SELECT inline(flatten(transform({_LINKS}, link -> array(
-        named_struct('src', link.a, 'dst', link.b, 'type', concat(link.ta, '-', link.tb)),
-        named_struct('src', link.b, 'dst', link.a, 'type', concat(link.tb, '-', link.ta)))))))""",
+    RETURN SELECT graph, {_at("sr", "sc")}, {_at("dr", "dc")}, type
+    FROM (SELECT inline(flatten({_LINKS})))""",
 ]
 
 
