@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from gridweave.schemas import EOS, NULL_WORD, PAD, SEPARATOR, SEQUENCE_LENGTH
 
 # White space that ends a word, marks stripped from both ends of a
-# word, and punctuation that becomes a word of its own.
+# word, and punctuation that becomes a word of its own. White space of one byte's width is listed
+# by character and the rest lies in one range, so that most characters take two tests.
 WHITESPACE = (
-    r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    r"[ \x{9}\x{A}\x{B}\x{C}\x{D}\x{1C}\x{1D}\x{1E}\x{1F}\x{85}\x{A0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]+"
 )
 STRIPPED = "\"\\'"
 TRAILING = [",", ".", "!", "?", ")", ":", ";"]
+MOST = (1 << 31) - 1  # characters of a string
 CURLY_QUOTES = "‘’“”"
 
 
@@ -34,7 +38,9 @@ def tokenize(text: Column, straighten_quotes: bool = False) -> Column:
         pieces,
         lambda piece: F.struct(
             piece.startswith("(").alias("bracket"),
-            F.btrim(F.regexp_replace(piece, r"^\(", ""), F.lit(STRIPPED)).alias("body"),
+            F.btrim(
+                F.when(piece.startswith("("), F.substring(piece, 2, MOST)).otherwise(piece), F.lit(STRIPPED)
+            ).alias("body"),
         ),
     )
     return F.when(text.isNull(), F.array(F.lit(NULL_WORD))).otherwise(
@@ -44,13 +50,11 @@ def tokenize(text: Column, straighten_quotes: bool = False) -> Column:
 
 def _words(piece: Column) -> Column:
     body = piece["body"]
-    last = F.right(body, F.lit(1))
+    # Tests of the last bytes; characters are only counted in words that end in a mark.
+    marked = reduce(Column.__or__, (body.endswith(mark) for mark in TRAILING)) & ~body.isin(TRAILING)
     words = (
         F.when(body == "", F.array(F.lit(NULL_WORD)))
-        .when(
-            (F.length(body) >= 2) & last.isin(TRAILING),
-            F.array(F.left(body, F.length(body) - 1), last),
-        )
+        .when(marked, F.array(F.left(body, F.length(body) - 1), F.right(body, F.lit(1))))
         .otherwise(F.array(body))
     )
     return F.when(piece["bracket"], F.concat(F.array(F.lit("(")), words)).otherwise(words)

@@ -43,7 +43,8 @@ def kept_words(
     Frequent words are found in the broadcast head of the dictionary, rare ones by a shuffle
     join, as in `tokens_to_ids`.
     """
-    flat = rows.select(*keys, F.posexplode(tokens).alias("pos", "word"))
+    split = materialize(rows.select(*keys, tokens.alias("_words")), "words")  # read twice by the look-up
+    flat = split.select(*keys, F.posexplode("_words").alias("pos", "word"))
     found = ranked_lookup(
         flat,
         keep_thresholds(dictionary, sample),

@@ -14,6 +14,7 @@ from gridweave.schemas import (
     SPECIAL_WORDS,
     UNK,
 )
+from gridweave.session import materialize
 
 # The most frequent words, sent to every task: at most this many, of at most this length.
 HEAD_WORDS = 100_000
@@ -59,9 +60,11 @@ def tokens_to_ids(
     """(*keys, ids array<int>): the id of each word of `tokens`, UNK for unknown words.
 
     `keys` identify a row. The frequent words are found in the broadcast head of the
-    dictionary, the rare ones by a shuffle join, so no single word forms a hot group.
+    dictionary, the rare ones by a shuffle join, so no single word forms a hot group. The words
+    are stored first, so `tokens` is worked out once.
     """
-    flat = rows.select(*keys, F.posexplode_outer(tokens).alias("_place", "word"))
+    split = materialize(rows.select(*keys, tokens.alias("_words")), "words")  # read twice by the look-up
+    flat = split.select(*keys, F.posexplode_outer("_words").alias("_place", "word"))
     found = ranked_lookup(
         flat,
         dictionary.select("word", "word_id"),

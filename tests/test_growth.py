@@ -46,3 +46,14 @@ def test_blocks_of_a_large_graph(spark):
     assert abs(cut - whole) < 1e-9
     best = gw.retrieval_top1(nodes, nodes, 4).select("pos", "best")
     assert sorted(best.collect()) == sorted(gw.retrieval_top1(nodes, nodes).select("pos", "best").collect())
+
+
+def test_texts_are_tokenized_once(spark):
+    """The look-up goes over the words twice: for those the head serves, and for the rest."""
+    rows = spark.createDataFrame([(1, "a b (c), b"), (2, None), (3, "")], "id long, text string")
+    dictionary = spark.createDataFrame([("a", 3, 4), ("b", 2, 5), ("c" * 70, 1, 6)], "word string, cnt long, word_id long")
+    words = gw.tokenize(F.col("text"))
+    for found in (gw.tokens_to_ids(rows, ["id"], words, dictionary), gw.kept_words(rows, ["id"], words, dictionary, 1e9, "s")):
+        assert "split(" not in found._jdf.queryExecution().executedPlan().toString()
+    ids = gw.tokens_to_ids(rows, ["id"], words, dictionary)
+    assert {r.id: r.ids for r in ids.collect()} == {1: [4, 5, 0, 0, 0, 5], 2: [0], 3: []}
