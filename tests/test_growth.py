@@ -57,3 +57,16 @@ def test_texts_are_tokenized_once(spark):
         assert "split(" not in found._jdf.queryExecution().executedPlan().toString()
     ids = gw.tokens_to_ids(rows, ["id"], words, dictionary)
     assert {r.id: r.ids for r in ids.collect()} == {1: [4, 5, 0, 0, 0, 5], 2: [0], 3: []}
+
+
+def test_edges_are_made_in_compiled_steps(spark):
+    """Each place is worked out once, and what there is per link is compiled."""
+    rows = [(0, ["a", "b"], [["1", "2"], ["3"], ["4", "5", "6"], []], ["why"]), (1, [], [], [])]
+    tables = spark.createDataFrame(rows, "gid long, columns array<string>, rows array<array<string>>, questions array<string>")
+    for dangling in (True, False):
+        edges = gw.table_edges(tables, dangling)
+        steps = edges._jdf.queryExecution().executedPlan().toString().splitlines()
+        generators = [s for s in steps if "Generate" in s]
+        assert len(generators) == 3 and all("*(" in s for s in generators)
+        assert not any("transform" in s for s in steps if "Filter" in s)
+        assert edges.where("j is null or i is null").count() == (6 if dangling else 0)
