@@ -70,3 +70,52 @@ def test_edges_are_made_in_compiled_steps(spark):
         assert len(generators) == 3 and all("*(" in s for s in generators)
         assert not any("transform" in s for s in steps if "Filter" in s)
         assert edges.where("j is null or i is null").count() == (6 if dangling else 0)
+
+
+def _tables(spark, n):
+    rows = [(g, ["a", "b"], [[str(g + r), "x y"] for r in range(g % 4)], ["why"] if g % 3 else []) for g in range(n)]
+    schema = "gid long, columns array<string>, rows array<array<string>>, questions array<string>"
+    return spark.createDataFrame(rows, schema)
+
+
+def _model(spark, nodes):
+    dictionary = gw.materialize(gw.build_dictionary(gw.word_counts(nodes), more_than=0), "words")
+    vectors = dictionary.where("word_id % 3 <> 0").select("word_id", F.array(F.sin("word_id"), F.cos("word_id")).alias("vector"))
+    return dictionary, gw.materialize(vectors, "vectors"), gw.random_heads(8, 2, 3, 6)
+
+
+def test_gathered_graphs_are_not_shuffled_again(spark):
+    """No node's vector and no pair is moved if nodes and pairs lie by graph."""
+    graph = gw.build_graph(_tables(spark, 40).repartition(5, "gid"), dangling=False)
+    dictionary, vectors, (heads, out_head) = _model(spark, graph.nodes)
+    features = gw.node_features(graph.nodes, dictionary, vectors, 2)
+    by_position = features.select("gid", F.col("pos").alias("id"), "h")
+    pairs = gw.edge_relations(*graph).select("gid", F.col("i").alias("src"), F.col("j").alias("dst"), "rels")
+    out = gw.relational_attention(by_position, pairs, heads, out_head)
+    losses = gw.pretraining_loss(*graph, dictionary, vectors, 2, heads, out_head, gw.Masking("t", rate=0.3))
+    for frame in (out, losses):
+        steps = [s for s in plan(frame).splitlines() if " Exchange" in s or "-Exchange" in s or "- Exchange" in s]
+        assert steps and all("hashpartitioning(gid" in s and "REPARTITION_BY_NUM" in s for s in steps), steps
+    spread = [f.repartition(3) for f in graph]
+    want = gw.pretraining_loss(*spread, dictionary, vectors, 2, heads, out_head, gw.Masking("t", rate=0.3))
+    rows = lambda f: sorted((r.gid, r.n, round(r.loss, 9)) for r in f.collect())
+    assert len(rows(losses)) == 40 and rows(losses) == rows(want)
+
+
+def test_loss_of_ordinary_and_large_graphs(spark, monkeypatch):
+    """Graphs over the bound on nodes go by node and have the loss they have whole."""
+    from gridweave.plans import pretraining
+
+    graph = gw.build_graph(_tables(spark, 12).repartition(3, "gid"), dangling=False)
+    dictionary, vectors, (heads, out_head) = _model(spark, graph.nodes)
+
+    def losses():
+        found = gw.pretraining_loss(*graph, dictionary, vectors, 2, heads, out_head, gw.Masking("t", rate=0.3))
+        return {r.gid: (r.n, round(r.loss, 9)) for r in found.collect()}
+
+    whole = losses()
+    for bound in (8, 0):
+        monkeypatch.setattr(pretraining, "LOSS_NODES", bound)
+        assert losses() == whole and len(whole) == 12
+    monkeypatch.setattr(pretraining, "HEAD_BYTES", 0)
+    assert losses() == whole
