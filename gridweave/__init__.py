@@ -58,6 +58,7 @@ from gridweave.operators.vectors import embed_text, fit_word2vec, skipgram_score
 from gridweave.operators.vocabulary import (
     build_dictionary,
     dictionary_size,
+    distinct_texts,
     number_words,
     sentence_count,
     skipgram_sentences,

@@ -119,3 +119,51 @@ def test_loss_of_ordinary_and_large_graphs(spark, monkeypatch):
         assert losses() == whole and len(whole) == 12
     monkeypatch.setattr(pretraining, "HEAD_BYTES", 0)
     assert losses() == whole
+
+
+def test_repeated_texts_are_tokenized_once(spark):
+    rows = [("a b, a",), ("a b, a",), (None,), ("-",), ("",), (None,)]
+    nodes = spark.createDataFrame(rows, "text string")
+    texts = gw.distinct_texts(nodes)
+    assert {(r.text, r.cnt) for r in texts.collect()} == {("a b, a", 2), ("-", 3), ("", 1)}
+    assert sorted(gw.word_counts(texts, "cnt").collect()) == sorted(gw.word_counts(nodes).collect())
+
+
+def test_long_steps_are_compiled(spark):
+    """Methods of over 8,000 bytes, as that of 64 columns of features, are never compiled by HotSpot."""
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def order_folder(spark, path) -> str:
+    """Orders that come twice, have no key or too many line items; line items and turns without an order."""
+    orders = [(1,), (2,), (2,), (None,), (3,), (4,)]
+    lines = [(1, 7, 8, 2, 5.0, "A"), (1, 9, 8, 1, None, None), (None, 1, 1, 1, 1.0, "N"), (9, 1, 1, 1, 1.0, "N")]
+    lines += [(2, None, 3, None, 4.0, "R"), (2, 6, 3, 1, 4.0, "R"), *((3, k, 0, 1, 1.0, "N") for k in range(750))]
+    turns = [(1, 2, "user", "why"), (1, 1, "user", None), (1, 0, "bot", "no"), (None, 1, "user", "lost"), (4, 1, "user", "x")]
+    for name, rows, schema in [
+        ("orders", orders, "o_orderkey long"),
+        ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"),
+        ("conversations", turns, "conv_id long, turn long, role string, text string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_tables_of_odd_orders(spark, tmp_path):
+    sf = order_folder(spark, tmp_path)
+    first, second = ["1", "9", None, None], ["2", "7", "5", "A"]
+    twice = [[None, None, "4", "R"], ["1", "6", "4", "R"]]
+    expected = [
+        (None, [], []), (1, [first, second], [None, "why"]), (2, twice, []), (2, twice, []), (4, [], ["x"])
+    ]
+    key = lambda r: (r[0] is not None, r[0])
+    found = [(r.o_orderkey, r.rows, r.questions) for r in fx.order_records(spark, sf).collect()]
+    assert sorted(found, key=key) == expected
+    tables = fx.order_tables(spark, sf).orderBy("gid").collect()
+    assert [(r.o_orderkey, r.rows, r.questions) for r in tables] == expected
+    assert [r.gid for r in tables] == [0, 1, 2, 3, 4] and all(r.columns == fx.COLUMNS for r in tables)
+
+
+def test_tables_take_one_shuffle(spark):
+    steps = plan(fx.order_records(spark, SF_SMALL))
+    assert steps.count("Exchange") == 1 and "Join" not in steps
