@@ -20,6 +20,9 @@ WIDE = "decimal(38,0)"
 SUMMED_AT_ONCE = 4096
 # Draws are compared with thresholds of 32 bits.
 DRAW = 1 << 32
+# An alias table of so many slots is sent to every task, in packed rows of PACKED_SLOTS; 24 bytes a slot.
+SENT_SLOTS = 1 << 23
+PACKED_SLOTS = 1024
 
 
 # --- Pairs --------------------------------------------------------------------
@@ -209,9 +212,22 @@ def negative_samples(
     asked = drawn.withColumn("slot", draw(f"{seed}/slot", *key, digits=15) % slots).withColumn(
         "_u", draw(f"{seed}/side", *key)
     )
+    if slots <= SENT_SLOTS:
+        named = _named_by_blocks(asked, alias)
+    else:
+        named = asked.join(alias, "slot")
     word = F.when(F.col("_u") < F.col("threshold"), F.col("word_id")).otherwise(F.col("alias"))
-    return (
-        asked.join(alias, "slot")
-        .select(*keys, "center", "draw", word.alias("negative"))
-        .where(F.col("negative") != F.col("center"))
+    return named.select(*keys, "center", "draw", word.alias("negative")).where(F.col("negative") != F.col("center"))
+
+
+def _named_by_blocks(asked: DataFrame, alias: DataFrame) -> DataFrame:
+    """`asked` with the row of `alias` for its slot, of a table that fits in every task: the draws, which
+    are many times as many as the texts' words, stay where they are."""
+    fields = ["threshold", "word_id", "alias"]
+    listed = F.sort_array(F.collect_list(F.struct("slot", *fields)))
+    packed = alias.groupBy(F.floor(F.col("slot") / PACKED_SLOTS).alias("_block")).agg(listed.alias("_l")).select(
+        "_block", *(F.col(f"_l.{f}").alias(f"_{f}") for f in fields)
     )
+    place = (F.col("slot") % PACKED_SLOTS).cast("int")
+    found = asked.withColumn("_block", F.floor(F.col("slot") / PACKED_SLOTS)).join(F.broadcast(packed), "_block")
+    return found.select(*asked.columns, *(F.col(f"_{f}")[place].alias(f) for f in fields))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import gridweave as gw
+from gridweave.operators import sampling
 from gridweave.operators.contrast import BLOCKS, _blocks, _paired
 from gridweave.operators.lookup import ranked_lookup
 from gridweave.operators.subgraph import graph_batch
@@ -167,3 +168,14 @@ def test_tables_of_odd_orders(spark, tmp_path):
 def test_tables_take_one_shuffle(spark):
     steps = plan(fx.order_records(spark, SF_SMALL))
     assert steps.count("Exchange") == 1 and "Join" not in steps
+
+
+def test_draws_are_not_shuffled(spark, monkeypatch):
+    weights = spark.createDataFrame([(4 + k, 1 + k % 7) for k in range(3000)], "word_id long, weight long")
+    table = gw.materialize(gw.alias_table(weights), "alias")
+    rows = spark.range(2000).select("id", (F.col("id") % 3000 + 4).alias("center"))
+    drawn = gw.negative_samples(rows, ["id"], "center", table)
+    assert "hashpartitioning(slot" not in plan(drawn) and "BroadcastHashJoin" in plan(drawn)
+    monkeypatch.setattr(sampling, "SENT_SLOTS", 0)
+    joined = gw.negative_samples(rows, ["id"], "center", table)
+    assert sorted(joined.collect()) == sorted(drawn.collect())
