@@ -6,7 +6,7 @@ import gridweave as gw
 from gridweave.operators import sampling
 from gridweave.operators.contrast import BLOCKS, _blocks, _paired
 from gridweave.operators.lookup import ranked_lookup
-from gridweave.operators.subgraph import graph_batch
+from gridweave.operators.subgraph import graph_batch, pack_adjacency, pack_channels
 from tests.conftest import SF_SMALL
 from tests.test_workload import plan
 from workload import fixtures as fx
@@ -179,3 +179,14 @@ def test_draws_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(sampling, "SENT_SLOTS", 0)
     joined = gw.negative_samples(rows, ["id"], "center", table)
     assert sorted(joined.collect()) == sorted(drawn.collect())
+
+
+def test_channels_are_listed_after_the_gathering(spark):
+    """A pair is gathered once, however many channels it has."""
+    rows = [(0, 1, 0, [0, 5]), (0, 0, 1, [2]), (0, 0, 1, [2]), (0, 1500, 3, [0, 1, 2, 3, 4, 5]), (0, 2, 2, []), (0, 2, 3, None), (1, 0, 0, [3])]
+    related = spark.createDataFrame(rows, "gid long, i int, j int, rels array<int>")
+    apart = related.select("gid", F.explode("rels").alias("rel"), "i", "j")
+    keys = ["gid", "row_block", "col_block"]
+    found, expected = (df.select(*keys, "entries").orderBy(*keys).collect() for df in (pack_channels(related, 6), pack_adjacency(apart, ["rel"])))
+    assert [tuple(r) for r in found] == [tuple(r) for r in expected] and len(found) == 3
+    assert "Generate" not in plan(pack_channels(related, 6))
