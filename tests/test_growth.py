@@ -190,3 +190,23 @@ def test_channels_are_listed_after_the_gathering(spark):
     found, expected = (df.select(*keys, "entries").orderBy(*keys).collect() for df in (pack_channels(related, 6), pack_adjacency(apart, ["rel"])))
     assert [tuple(r) for r in found] == [tuple(r) for r in expected] and len(found) == 3
     assert "Generate" not in plan(pack_channels(related, 6))
+
+
+def test_edges_are_built_from_shapes(spark, tmp_path):
+    """No text of a cell is moved for the edges, and large graphs are found without moving tables."""
+    sf = order_folder(spark, tmp_path)
+    nodes, edges = fx.gathered_graph(spark, sf)
+    assert sorted(edges.collect()) == sorted(fx.order_graph(spark, sf).edges.collect())
+    key = lambda r: (r.gid, r.pos)
+    assert sorted(nodes.collect(), key=key) == sorted(fx.order_graph(spark, sf).nodes.collect(), key=key)
+    assert "transform(rows" in plan(edges) and "transform(rows" not in plan(nodes).split("Exchange")[1]
+    for rows in fx.counted_graph(spark, sf):
+        assert rows.columns == ["gid"] and "Exchange" not in plan(rows)
+
+
+def test_blocks_of_a_large_vocabulary():
+    """A basis is sent once for each block of words, so blocks must not get more with the words."""
+    from gridweave.operators.cooccurrence import BLOCK_WORDS, BLOCKS, LARGEST_BLOCK, block_words
+
+    assert block_words(10) == block_words(BLOCK_WORDS * BLOCKS) == BLOCK_WORDS
+    assert -(-1_055_170 // block_words(1_055_170)) == BLOCKS and block_words(10**9) == LARGEST_BLOCK
