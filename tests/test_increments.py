@@ -109,3 +109,15 @@ def test_a_store_without_increments(spark, tmp_path):
     assert gw.append_records(spark, str(tmp_path / "records"), store) == 0
     assert gw.read_increments(spark, store).edges.count() == 0
     assert gw.read_graph_count(spark, store).first().num == 0
+
+
+def test_lines_of_increments_are_packed(spark):
+    """The record lines are the largest thing the increments store."""
+    from pathlib import Path
+
+    from workload import catalog
+
+    store = Path(catalog._in_increments(spark, "/root/testdata/sf0.001"))
+    lines = [p for p in store.parent.glob("record-lines-*/day=*/part-*") if p.stat().st_mtime >= store.stat().st_ctime - 600]
+    assert lines and all(p.name.endswith(".txt.gz") for p in lines[-2:])
+    assert all(".zstd." in p.name for p in store.rglob("part-*.parquet"))
